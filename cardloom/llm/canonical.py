@@ -93,7 +93,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table = pa.table({"rid": pa.array(range(batch.num_rows), pa.int64()), "txt": batch.column("_txt")})
         con.register("part", table)
-        found = con.execute(f"select canon, is_disguised from ({canonical_sql('part')}) order by rid").to_arrow_table()
+        found = con.sql(f"select canon, is_disguised from ({canonical_sql('part')}) order by rid").to_arrow_table()
         con.unregister("part")
         rest = [batch.column(n) for n in batch.schema.names]
         yield pa.RecordBatch.from_arrays(
