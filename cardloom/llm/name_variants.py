@@ -114,23 +114,23 @@ def parsed_names(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Distinct names with their parts: id, field, name, tok, key (what tells the person or firm), rest, common.
 
     The key of a person is the surname, of a firm its own name: of the words of a name the one that stands, over all
-    names, most often on that side of a comma (authors: before it, else after all others), and is rarest among equals.
+    rows, most often on that side of a comma (authors: before it, else after all others), and is rarest among equals.
     common: whether the first other word is a frequent one, so no mistyped other word.
     """
     split = [F.struct(F.lit(f).alias("field"), F.col(f).alias("name")) for f in fields]
-    names = records.select(F.explode(F.array(*split)).alias("x")).select("x.*").where("name is not null and trim(name) != ''").distinct()
+    names = records.select(F.explode(F.array(*split)).alias("x")).select("x.*").where("name is not null and trim(name) != ''").groupBy("field", "name").agg(F.count("*").alias("n_rows"))
     # xxhash64 gives an id without ordering the names
     ids = names.withColumn("id", F.xxhash64("field", "name"))
-    names = materialize(ids.mapInPandas(_tokens, "field string, name string, id long, tok array<string>, lead int"))
+    names = materialize(ids.mapInPandas(_tokens, "field string, name string, n_rows long, id long, tok array<string>, lead int"))
     # the last word that is written out
     end = F.array_max(F.transform("tok", lambda w, i: F.when(w.endswith(".") | (F.length(w) < 4), -1).otherwise(i)))
-    each = names.where(F.size("tok") > 0).select("id", "field", "lead", end.alias("end"), F.posexplode("tok").alias("at", "word"))
+    each = names.where(F.size("tok") > 0).select("id", "field", "n_rows", "lead", end.alias("end"), F.posexplode("tok").alias("at", "word"))
     first = (F.col("lead") > 0) & (F.col("at") < F.col("lead"))
     whole = (F.col("lead") > 0) & ~F.col("word").endswith(".")
     stats = each.groupBy("field", "word").agg(
         F.count("*").alias("df"),
-        F.sum(F.when(whole & first & (F.col("lead") == 1), 1).otherwise(0)).alias("n_first"),
-        F.sum(F.when(whole & ~first & (F.col("at") == F.col("end")), 1).otherwise(0)).alias("n_last"),
+        F.sum(F.when(whole & first & (F.col("lead") == 1), F.col("n_rows")).otherwise(0)).alias("n_first"),
+        F.sum(F.when(whole & ~first & (F.col("at") == F.col("end")), F.col("n_rows")).otherwise(0)).alias("n_last"),
     )
     total = each.groupBy("field").agg(F.countDistinct("id").alias("n_names"))  # a row a field
     stats = stats.join(F.broadcast(total), "field").withColumn("frequent", (F.col("df") >= 3) & (F.col("df") >= 0.005 * F.col("n_names")))
@@ -165,7 +165,7 @@ def _check(field: str, a: tuple, b: tuple) -> int:
         place_a = [x for x, c in zip(rest_a, com_a) if not c and len(x) > 2]
         place_b = [x for x, c in zip(rest_b, com_b) if not c and len(x) > 2]
         if not same_key:
-            return -1 if len(key_a) > 4 and len(key_b) > 4 and key_a[:3] != key_b[:3] else 0
+            return 0
         if key_a == key_b or not place_a or not place_b:
             return 1
         near = any(one_typo(x.rstrip("."), y.rstrip(".")) or (x.endswith(".") and y.startswith(x[:-1])) or (y.endswith(".") and x.startswith(y[:-1])) for x in place_a for y in place_b)
@@ -181,7 +181,7 @@ def _check(field: str, a: tuple, b: tuple) -> int:
     return -1 if sure else 0
 
 
-def similar_pairs(names: DataFrame, threshold: float = 0.3) -> DataFrame:
+def similar_pairs(names: DataFrame, threshold: float = 0.25) -> DataFrame:
     """Pairs of names of one field with cosine >= threshold: field, a, b (a < b), cosine, verdict of the exact check.
 
     names: as parsed_names gives them. Every pair at or above the threshold comes out, whatever the number of partners.
@@ -278,7 +278,7 @@ def average_linkage(ids: DataFrame, sims: DataFrame, threshold: float, max_round
     return members
 
 
-def name_clusters(records: DataFrame, fields: tuple[str, ...] = ("author", "publisher"), threshold: float = 0.3, linkage: float = 0.05) -> DataFrame:
+def name_clusters(records: DataFrame, fields: tuple[str, ...] = ("author", "publisher"), threshold: float = 0.25, linkage: float = 0.05) -> DataFrame:
     """field, name, cluster: spellings of one person or firm share a cluster.
 
     Null and blank names have no row, repeated rows and names count once, and an empty table gives an empty result.
