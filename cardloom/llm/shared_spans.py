@@ -5,7 +5,7 @@ that equal text is cut equally wherever it stands. Two neighbouring anchors and
 edge of the graph whose nodes are anchors. Nodes seen in two or more documents are kept, paths of them that never
 branch are compacted by Spark joins into unitigs, and a unitig of the wanted length is a repeated span by construction.
 Around the ends of unitigs, where a span may go on inside a token, every window of the wanted length is verified at its
-source coordinates by a 128-bit fingerprint.
+source coordinates, if the longer half of it is already known to be shared.
 
 Completeness: any span of `min_len` code points holds a whole anchor, as GRAM + WINDOW - 1 <= min_len.
 """
@@ -166,16 +166,40 @@ def _node_rows(gram: int):
     return run
 
 
-def _window_rows(gram: int, min_len: int):
+def _probe_rows(gram: int, half: int):
+    """An anchor with `half` more characters on either side: a window of the wanted length that holds the anchor holds
+    one of the two, so most anchors of short repeats end here."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = {k: [] for k in ("probe", "doc_id", "pos", "right")}
+            for d, t, where in zip(f["doc_id"], f["text"], f["where"]):
+                p = np.asarray(where, dtype=np.int64)
+                prints = Prints(code_points(t))
+                for right in (False, True):
+                    s = p if right else p - half
+                    q = p[(s >= 0) & (s + gram + half <= len(t))]
+                    s = q if right else q - half
+                    out["probe"].append(_signed(prints.of(s, s + gram + half)))
+                    out["doc_id"].append(np.full(len(q), d, dtype=np.int64))
+                    out["pos"].append(q.astype(np.int32))
+                    out["right"].append(np.full(len(q), right))
+            if out["probe"]:
+                yield pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
+
+    return run
+
+
+def _window_rows(gram: int, half: int, min_len: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = {k: [] for k in ("g1", "g2", "doc_id", "s")}
-            for d, t, where, done in zip(f["doc_id"], f["text"], f["where"], f["done"]):
+            out = {k: [] for k in ("g", "doc_id", "s")}
+            for d, t, probes, done in zip(f["doc_id"], f["text"], f["probes"], f["done"]):
                 codes = code_points(t)
                 last = len(codes) - min_len
-                mark = np.zeros(last + 2, dtype=np.int32)  # windows that hold a repeated anchor
-                p = np.asarray(where, dtype=np.int64)
-                lo, hi = np.maximum(p + gram - min_len, 0), np.minimum(p, last)
+                mark = np.zeros(last + 2, dtype=np.int32)  # windows that hold a repeated probe
+                at = np.array([x["pos"] - (0 if x["right"] else half) for x in probes], dtype=np.int64)
+                lo, hi = np.maximum(at + gram + half - min_len, 0), np.minimum(at, last)
                 np.add.at(mark, lo[lo <= hi], 1)
                 np.add.at(mark, hi[lo <= hi] + 1, -1)
                 todo = np.cumsum(mark[:-1]) > 0
@@ -183,8 +207,7 @@ def _window_rows(gram: int, min_len: int):
                     todo[span["a"] : span["b"] + 1] = False
                 s = np.flatnonzero(todo)
                 if len(s):
-                    out["g1"].append(_signed(Prints(codes, 0).of(s, s + min_len)))
-                    out["g2"].append(_signed(Prints(codes, 1).of(s, s + min_len)))
+                    out["g"].append(_signed(Prints(codes, 1).of(s, s + min_len)))
                     out["doc_id"].append(np.full(len(s), d, dtype=np.int64))
                     out["s"].append(s.astype(np.int32))
             if out["s"]:
@@ -223,8 +246,9 @@ def shared_spans(docs: DataFrame, min_len: int = 100, gram: int = 40) -> DataFra
     gram = min(gram, max(1, min_len // 2))
     window = min_len - gram + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    half = (min_len - gram) // 2
     found = docs.mapInPandas(_anchor_rows(gram, window, min_len), "h long, doc_id long, pos int")
-    repeated = found.join(_in_several(found, "h"), "h", "left_semi")
+    repeated = found.join(materialize(_in_several(found, "h")), "h", "left_semi")
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("pos").alias("where"))  # as long as its document at most
     held = materialize(per_doc.join(docs, "doc_id"))
 
@@ -257,8 +281,11 @@ def shared_spans(docs: DataFrame, min_len: int = 100, gram: int = 40) -> DataFra
         )
     )
     done = unitigs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("done"))
-    windows = materialize(held.join(done, "doc_id", "left").mapInPandas(_window_rows(gram, min_len), "g1 long, g2 long, doc_id long, s int"))
-    verified = windows.join(_in_several(windows, "g1", "g2"), ["g1", "g2"], "left_semi")
+    probed = held.mapInPandas(_probe_rows(gram, half), "probe long, doc_id long, pos int, right boolean")
+    probes = probed.join(_in_several(probed, "probe"), "probe", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "right")).alias("probes"))
+    texts = held.select("doc_id", "text").join(probes, "doc_id").join(done, "doc_id", "left")
+    windows = materialize(texts.mapInPandas(_window_rows(gram, half, min_len), "g long, doc_id long, s int"))
+    verified = windows.join(_in_several(windows, "g"), "g", "left_semi")
     return merge_stretches(unitigs.select("doc_id", "s", "e").unionByName(verified.select("doc_id", "s", (F.col("s") + min_len).alias("e"))))
 
 
