@@ -57,9 +57,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage where a result is used several times, without relying on blocks of a single executor: the
-    files outlive any executor that is lost.
+    files outlive any executor that is lost. The collection lets Spark's cleaner delete the shuffle files that only the
+    written plan used, which otherwise stay until the driver happens to collect.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cardloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
