@@ -235,7 +235,7 @@ def merge_stretches(spans: DataFrame) -> DataFrame:
     )
 
 
-def shared_spans(docs: DataFrame, min_len: int = 100, gram: int = 40) -> DataFrame:
+def shared_spans(docs: DataFrame, min_len: int = 100, gram: int = 50) -> DataFrame:
     """Maximal stretches of each document in which every character lies in a span of `min_len` code points that occurs
     verbatim in another document: (doc_id, start_pos, end_pos).
 
