@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space as Python's str.split() sees it.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _ALL = 1 << 30
 
 # Tags whose lines name an author, if they end in the role code; tags of the other labels.
