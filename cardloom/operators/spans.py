@@ -30,7 +30,7 @@ def hull(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def shifted(spans: DataFrame, by: Column) -> DataFrame:
-    return spans.withColumn("start_pos", F.col("start_pos") + by).withColumn("end_pos", F.col("end_pos") + by)
+    return spans.withColumns({"start_pos": F.col("start_pos") + by, "end_pos": F.col("end_pos") + by})
 
 
 def interval_pairs(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,21 +7,393 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.operators import unpack
+from cardloom.functions import distance
+from cardloom.operators import align, linkage, metrics, records, sequence, spans, unpack
 from cardloom.runtime import table
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "classification_report"
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Columns of the record table by the label of the field they hold, in the order of a record.
+LABEL_COLUMNS = {"Author": "author", "Title": "title", "Subtitle": "subtitle", "Publisher": "publisher", "Date": "date_text", "Pages": "pages", "Series": "series", "Edition": "edition", "ID": "id"}
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "db_record_line").select("db_id", "line_no", "content")
+
+def query(f: Callable) -> Callable:
+    """Register f(t), t giving a table by its name, under its own name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(lambda name: table(spark, sf_dir, name))
+
+    REGISTRY[f.__name__] = run
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(REGISTRY)
+
+
+def _field_labels(t) -> DataFrame:
+    """db_id, label, text, label_ord of the record table."""
+    rows = t("db_record").select("db_id", *LABEL_COLUMNS.values()).distinct()
+    each = F.array(*[F.struct(F.lit(label).alias("label"), F.col(c).alias("text"), F.lit(i).alias("label_ord")) for i, (label, c) in enumerate(LABEL_COLUMNS.items())])
+    return rows.select("db_id", F.explode(each).alias("x")).select("db_id", "x.*").where("text is not null and trim(text) != ''")
+
+
+def _links(t) -> DataFrame:
+    return linkage.mapping(t("card_mapping"))
+
+
+def _spans(t) -> DataFrame:
+    return spans.tidy(t("card_span"))
+
+
+def _aligned(t) -> DataFrame:
+    """The spans misplaced by up to three characters, as an aligner would."""
+    return spans.shifted(_spans(t), F.col("start_pos") % 4)
+
+
+def _masks(t) -> DataFrame:
+    a = spans.char_mask(_spans(t)).withColumnRenamed("label", "truth")
+    b = spans.char_mask(_aligned(t)).withColumnRenamed("label", "pred")
+    return a.join(b, ["card", "pos"], "full")
+
+
+@query
+def p3_found(t):
+    lines = t("db_record_line").select("db_id", "line_no", "content")
     content = unpack.in_packed(unpack.unpack_marked(lines, "content", ["db_id", "line_no"]), ["db_id", "line_no"])
-    marks = table(spark, sf_dir, "db_record").select("db_id", "id")
-    ids = unpack.in_packed(unpack.unpack_list(marks, "id", ["db_id"]), ["db_id"])
+    ids = unpack.in_packed(unpack.unpack_list(t("db_record").select("db_id", "id"), "id", ["db_id"]), ["db_id"])
     return content.select(F.lit("content").alias("field"), "db_id", "line_no", "pos", "piece").unionByName(
         ids.select(F.lit("id").alias("field"), "db_id", F.lit(0).cast("long").alias("line_no"), "pos", "piece")
     )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+@query
+def subfield_parse(t):
+    return records.subfield_parse(t("db_record_line"))
+
+
+@query
+def marc_line_parse(t):
+    return records.marc_line_parse(t("db_record_line"))
+
+
+@query
+def failed_lines(t):
+    return records.failed_lines(t("db_record_line"))
+
+
+@query
+def accepted_subfields(t):
+    return records.accepted_subfields(t("db_record_line"))
+
+
+@query
+def last_wins(t):
+    return records.last_wins(records.accepted_subfields(t("db_record_line")))
+
+
+@query
+def filter_empty(t):
+    return records.filter_empty(records.last_wins(records.accepted_subfields(t("db_record_line"))))
+
+
+@query
+def record_labels(t):
+    return records.record_labels(t("db_record_line"))
+
+
+@query
+def record_rows(t):
+    return records.record_rows(t("db_record_line"))
+
+
+@query
+def fixed_width_project(t):
+    return records.fixed_width_project(records.render_fixed(t("db_record_line")))
+
+
+@query
+def clean_record(t):
+    return records.clean_record(records.render_fixed(t("db_record_line")))
+
+
+@query
+def merge_boundaries(t):
+    return records.merge_boundaries(records.record_labels(t("db_record_line")))
+
+
+@query
+def semi_join_ids(t):
+    return records.grouped_lines(t("db_record_line"), _links(t))
+
+
+@query
+def mapping(t):
+    return _links(t)
+
+
+@query
+def card_lines(t):
+    return linkage.card_lines(t("card_transcription"))
+
+
+@query
+def card_record_join(t):
+    return linkage.card_record_join(_links(t), t("card_transcription"), _field_labels(t))
+
+
+@query
+def anti_resume(t):
+    return linkage.anti_resume(t("card_transcription"), t("card_span"))
+
+
+@query
+def suffix_first_match(t):
+    return linkage.suffix_first_match(t("card_span").select(F.substring_index("card", "/", -1).alias("stem")), t("card_transcription"))
+
+
+@query
+def grep_ids(t):
+    return linkage.grep_ids(records.render_dump(t("db_record_line")), _links(t))
+
+
+@query
+def union_prefixed(t):
+    rows = t("card_mapping").select("card_file", "db_id")
+    return linkage.union_prefixed({"old": rows, "new": rows.distinct()}, "card_file")
+
+
+@query
+def ranked_matches(t):
+    return linkage.ranked_matches(_links(t))
+
+
+@query
+def task_numbering(t):
+    return linkage.task_numbering(linkage.latest_texts(t("card_transcription"))).select("id", "card")
+
+
+@query
+def xml_text_extract(t):
+    lines = linkage.latest_texts(t("card_transcription")).select("card", F.posexplode(F.split("transcription", "\n")).alias("n", "line"))
+    page = lines.select(F.concat_ws("#", "card", "n").alias("line_no"), F.concat(F.lit("  <Unicode>"), "line", F.lit("</Unicode> ")).alias("raw"))
+    return linkage.xml_text_extract(page)
+
+
+@query
+def records_match_score(t):
+    return linkage.records_match_score(_links(t), linkage.card_lines(t("card_transcription")), _field_labels(t))
+
+
+@query
+def index_search(t):
+    docs = t("db_record").select("db_id", F.concat_ws(" ", "title", "author").alias("text")).distinct()
+    return linkage.index_search(linkage.latest_texts(t("card_transcription")), docs, "card", F.col("transcription"), "db_id", F.col("text"))
+
+
+@query
+def cer(t):
+    own = t("card_span").select("card", F.replace(F.col("label"), F.lit(" "), F.lit("_")).alias("label"), "span_text", "start_pos").distinct()
+    both = own.join(_links(t).select("card", "db_id"), "card").join(_field_labels(t), ["db_id", "label"])
+    return both.select("card", "label", "start_pos", F.round(distance.cer(distance.fold_ascii(F.col("span_text")), distance.fold_ascii(F.col("text"))), 6).alias("cer"))
+
+
+@query
+def infix_distance(t):
+    word = F.split(distance.fold_ascii(F.col("span_text")), " ")[0]
+    own = t("card_span").select("card", word.alias("word")).where("word != ''").distinct()
+    titles = _field_labels(t).where("label = 'Title'").select("db_id", distance.fold_ascii(F.col("text")).alias("title"))
+    pairs = own.join(_links(t).select("card", "db_id"), "card").join(titles, "db_id").select("word", "title").distinct()
+    return pairs.select("word", "title", distance.infix_udf()("word", "title").alias("dist"))
+
+
+@query
+def line_label_assign(t):
+    return align.line_label_assign(_links(t), linkage.card_lines(t("card_transcription")), _field_labels(t), distance.fold_ascii)
+
+
+@query
+def best_permutation(t):
+    lines = linkage.card_lines(t("card_transcription"))
+    assigned = align.line_label_assign(_links(t), lines, _field_labels(t), distance.fold_ascii).where("cer < 0.8")
+    groups = assigned.join(lines, ["card", "line_no"]).groupBy("card", "label").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    refs = _links(t).select("card", "db_id").join(_field_labels(t), "db_id").select("card", "label", F.col("text").alias("ref"))
+    with_lines = groups.select("card", "label", F.transform("x", lambda x: x["line"]).alias("lines")).join(refs, ["card", "label"])
+    return align.best_permutation(with_lines, distance.fold_ascii)
+
+
+@query
+def align_cards(t):
+    texts = linkage.latest_texts(t("card_transcription"))
+    return align.align_cards(_links(t), linkage.card_lines(t("card_transcription")), _field_labels(t), texts)
+
+
+@query
+def best_fuzzy_match(t):
+    return align.best_fuzzy_match(_links(t), linkage.latest_texts(t("card_transcription")), _field_labels(t))
+
+
+@query
+def align_fuzzy(t):
+    return align.align_fuzzy(_links(t), linkage.latest_texts(t("card_transcription")), _field_labels(t))
+
+
+@query
+def interval_iou(t):
+    pairs = spans.interval_pairs(_spans(t), _aligned(t))
+    return pairs.withColumn("iou", F.round(F.col("inter") / F.col("hull"), 6))
+
+
+@query
+def iou_match(t):
+    return spans.iou_match(_spans(t), _aligned(t))
+
+
+@query
+def iou_totals(t):
+    return spans.iou_totals(spans.iou_match(_spans(t), _aligned(t)))
+
+
+@query
+def label_error(t):
+    return spans.label_error(spans.iou_totals(spans.iou_match(_spans(t), _aligned(t))))
+
+
+@query
+def overlap_pairs(t):
+    return spans.overlap_pairs(_aligned(t))
+
+
+@query
+def merge_adjacent_spans(t):
+    return spans.merge_adjacent_spans(_spans(t))
+
+
+@query
+def char_mask(t):
+    return spans.char_mask(_spans(t))
+
+
+@query
+def masked_error(t):
+    return spans.masked_error(_spans(t), _aligned(t))
+
+
+@query
+def classification_report(t):
+    return metrics.classification_report(_masks(t), "truth", "pred")
+
+
+@query
+def masked_accuracy(t):
+    size = lambda c: F.coalesce(F.length(c), F.lit(-100))
+    return metrics.masked_accuracy(_masks(t), size("truth"), size("pred"), F.substring_index("card", "/", 1))
+
+
+@query
+def space_positions(t):
+    own = t("card_span").select("card", "label", "start_pos", "span_text").distinct()
+    return own.select("card", "label", "start_pos", F.array_join(spans.space_positions(F.col("span_text")), ",").alias("spaces"))
+
+
+@query
+def refine_border(t):
+    texts = linkage.latest_texts(t("card_transcription")).select("card", spans.space_positions(F.col("transcription")).alias("spaces"))
+    both = _spans(t).join(texts, "card")
+    return both.select("card", "label", "start_pos", "end_pos", spans.refine_border(F.col("start_pos"), F.col("end_pos"), F.col("spaces")).alias("border"))
+
+
+@query
+def span_text(t):
+    return spans.span_text(_spans(t), linkage.latest_texts(t("card_transcription")))
+
+
+@query
+def merge_annotations(t):
+    return spans.dataset_lines(_spans(t))
+
+
+@query
+def training_filter(t):
+    return spans.training_filter(_spans(t))
+
+
+@query
+def resolve_inner(t):
+    return spans.resolve_overlaps(_aligned(t), "inner")
+
+
+@query
+def resolve_outer(t):
+    return spans.resolve_overlaps(_aligned(t), "outer", linkage.latest_texts(t("card_transcription")))
+
+
+@query
+def lf_tokenize(t):
+    return sequence.tokens_of(linkage.latest_texts(t("card_transcription")))
+
+
+@query
+def token_offsets(t):
+    return sequence.token_offsets(linkage.latest_texts(t("card_transcription")))
+
+
+@query
+def offsets_to_io(t):
+    return sequence.offsets_to_io(linkage.latest_texts(t("card_transcription")), _spans(t))
+
+
+def _islands(t) -> DataFrame:
+    scaled = t("events").withColumn("conf", F.col("value") / 1000)
+    return sequence.label_islands(scaled, "user_id", ["ts", "event_id"], "event_type", "conf")
+
+
+@query
+def label_islands(t):
+    return _islands(t).drop("values")
+
+
+def _confidence(how: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        done = sequence.aggregate_confidence(_islands(lambda name: table(spark, sf_dir, name)), how)
+        return done.select("user_id", "island", "label", F.round("confidence", 9).alias("confidence"))
+
+    REGISTRY[f"confidence_agg_{how}"] = run
+
+
+for _how in ("prod", "mean", "max", "min", "median"):
+    _confidence(_how)
+
+
+@query
+def iob_tags(t):
+    return sequence.iob_tags(t("events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "tag")
+
+
+@query
+def propagate_labels(t):
+    words = sequence.tokens_of(linkage.latest_texts(t("card_transcription")))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("token") - 1) / 3).cast("int")), lambda k: F.struct(k.alias("piece"), (k * 3).alias("start"), F.least(k * 3 + 3, F.length("token")).alias("end")))
+    pieces = words.select("card", "tok_ord", F.explode(cut).alias("x")).select("card", "tok_ord", "x.*")
+    first = words.groupBy("card").agg(F.lit(-1).alias("tok_ord"), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    per = F.transform(F.sort_array(F.collect_list(F.struct("tok_ord", F.length("token").alias("n")))), lambda x: x["n"])
+    labels = words.groupBy("card").agg(per.alias("labels"))
+    both = pieces.unionByName(first).join(labels, "card")
+    return sequence.propagate_labels(both, "card", ["tok_ord", "piece"], F.col("labels")).select("card", "tok_ord", "piece", "piece_label")
+
+
+@query
+def label_ids(t):
+    return sequence.label_ids(t("region").sparkSession, tuple(LABEL_COLUMNS))
+
+
+@query
+def length_histogram(t):
+    return metrics.length_histogram(t("documents").where("text is not null"), F.size(F.split("text", " ")))
+
+
+@query
+def softmax_confidence(t):
+    v = F.col("embedding")
+    return t("embeddings").select("vec_id", F.round(metrics.softmax_confidence(v), 6).alias("confidence"), metrics.argmax(v).alias("best"))
