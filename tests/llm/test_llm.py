@@ -175,3 +175,21 @@ def test_linkage_tells_editions_apart(spark):
     cards = [("A/1", text.format(1901, 120)), ("A/2", text.format(1910, 130)), ("A/3", text.format(1955, 99)), ("A/4", None), ("A/5", text.format(1901, 120)), ("A/1", text.format(1901, 120))]
     got = {r.card: r.db_id for r in soft_linkage.link(spark.createDataFrame(cards, "card string, transcription string"), spark.createDataFrame(rec * 2, cols)).collect()}
     assert got == {"A/1": "000000001", "A/2": "000000002", "A/5": "000000001"}
+
+
+@pytest.mark.parametrize(
+    ("title", "numbers"),
+    [
+        ("Starý #### dávných sporů", "1901\n120 s."),
+        ("##### obraz dávných sporů", "1901"),
+        ("Starý #### dávných sporů", ""),
+        ("Starý #### dávných #####", "\n120 s."),
+    ],
+)
+def test_linkage_without_one_of_the_first_title_words(spark, title, numbers):
+    cols = "db_id string, title string, subtitle string, author string, publisher string, date_text string, pages string, series string, edition string, id string"
+    rec = [("000000001", "Starý obraz dávných sporů", None, "Novák, Jan", "Brno, Verlag Dimov", "1901", "120 s.", None, None, "BK1")]
+    rec += [(f"00000001{i}", f"Jiná kniha o městě číslo {i}", None, "Novák, Jan", "Brno, Verlag Dimov", "1901", f"{200 + i} s.", None, None, f"BX{i}") for i in range(8)]
+    text = f"Novák, Jan\n{title.replace('#', 'x')} /\nBrno, Dimov {numbers}"
+    got = soft_linkage.link(spark.createDataFrame([("A/1", text)], "card string, transcription string"), spark.createDataFrame(rec, cols)).collect()
+    assert [(r.card, r.db_id) for r in got] == [("A/1", "000000001")]
