@@ -74,6 +74,16 @@ def test_trie_gives_all_words_one_error_away():
     assert [(v, at) for v, _, at in trie.through("rnot0r", {"rn": ["m"], "0": ["o"]}, 2)] == [("motor", [0, 4])]
 
 
+def test_a_kind_of_error_is_judged_by_its_own_words(spark):
+    rnd = random.Random(10)
+    some = lambda k: "".join(rnd.choices("bdghjkpqstvwxz", k=k))
+    often = [f"{some(4)}o{some(4)}" for _ in range(150)]
+    seldom = [f"{some(4)}rn{some(4)}" for _ in range(3)]
+    rows = [(w, 200) for w in often + seldom] + [(w.replace("o", "0"), 1) for w in often] + [(w.replace("rn", "m"), 1) for w in seldom]
+    got = {r.word: (r.meant, r.places) for r in ocr_repair.misreadings(spark.createDataFrame(rows, "word string, n long"), 1000).collect()}
+    assert got == {w.replace("o", "0"): (w, [4]) for w in often} | {w.replace("rn", "m"): (w, [4]) for w in seldom}
+
+
 def test_noise_of_a_small_collection(spark):
     rnd = random.Random(8)
     words = ["dodatek", "dlouhý", "obsahuje", "mezitím", "rejstřík", "starý", "rozbor", "knihách", "obraz", "román", "protokol", "soupis"]
