@@ -7,6 +7,8 @@ length make up the rest; those are drawn by a seeded hash.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,40 +17,72 @@ from cardloom.llm.tokens import DEFAULT_VOCABULARY, with_token_counts
 from cardloom.runtime import materialize
 
 
+def _sums(lengths: list[int], counts: list[int], most: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """The sums up to `most` that can be made, as a bit set, and the steps to them: length number, how many, what was before."""
+    reach, steps, full = 1, [], (2 << most) - 1
+    for i, (n, c) in enumerate(zip(lengths, counts)):
+        spare, size = min(c, most // n), 1
+        while spare > 0:  # counts as powers of two
+            k = min(size, spare)
+            steps.append((i, k, reach))
+            reach = (reach | reach << (k * n)) & full
+            spare, size = spare - k, size * 2
+    return reach, steps
+
+
+def _taken(lengths: list[int], steps: list[tuple[int, int, int]], at: int) -> list[int]:
+    """How many of each length make the sum `at`."""
+    out = [0] * len(lengths)
+    for i, k, before in reversed(steps):
+        if not before >> at & 1:
+            out[i] += k
+            at -= k * lengths[i]
+    return out
+
+
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length give the largest sum up to the budget, each at most as often as counted.
 
-    First an even share of every length is taken, then single ones from the longest down, until what is left is within
-    twice the longest; that rest is solved exactly by a bit set of the reachable sums.
+    An even share of every length is taken first; then sums of lengths that may go and sums of lengths that may come in
+    are found as bit sets, within a reach that is doubled until the budget is met exactly. If it never is, the search
+    goes on from the longest lengths down: a best choice differs from that one by 2 * longest + 1 items at most (the
+    proximity of an integer program to a corner of its relaxation), so with that reach the sum is the largest there is.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
+    unit = math.gcd(*(n for n, c in zip(lengths, counts) if c > 0))
+    lengths, budget, total = [max(1, n // unit) for n in lengths], budget // unit, total // unit
+    longest = max(n for n, c in zip(lengths, counts) if c > 0)
+    even = [c * budget // total for c in counts]
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    taken = [c * budget // total for c in counts]
-    left = budget - sum(n * t for n, t in zip(lengths, taken))
-    longest = max(lengths, default=0)
-    while left > 2 * longest:
+    left = budget - sum(n * k for n, k in zip(lengths, even))
+    while left > 2 * longest:  # the rounding of the shares, a document a length and round
         for i in order:
-            if left > 2 * longest and taken[i] < counts[i]:
-                taken[i] += 1
+            if left > 2 * longest and even[i] < counts[i]:
+                even[i] += 1
                 left -= lengths[i]
-    reach, steps, full = 1, [], (2 << left) - 1
-    for i in order[::-1]:
-        spare, size = min(counts[i] - taken[i], left // lengths[i]), 1
-        while spare > 0:  # counts as powers of two
-            k = min(size, spare)
-            steps.append((i, k, reach))
-            reach = (reach | reach << (k * lengths[i])) & full
-            spare, size = spare - k, size * 2
-        if reach >> left & 1:
+    corner, left = [0] * len(lengths), budget
+    for i in order:
+        corner[i] = min(counts[i], left // lengths[i])
+        left -= lengths[i] * corner[i]
+    for base, bound in ((even, 16 * longest), (corner, (2 * longest + 1) * longest)):
+        left = budget - sum(n * k for n, k in zip(lengths, base))
+        reach = min(bound, 2 * longest)
+        while True:
+            come, way_in = _sums(lengths, [c - k for c, k in zip(counts, base)], left + reach)
+            go, way_out = _sums(lengths, base, reach)
+            # the least gap for which a sum that comes in is what goes plus what is left without the gap
+            gap = next(g for g in range(left + 1) if come & (go << (left - g)))
+            if gap == 0 or reach >= bound:
+                break
+            reach = min(bound, 2 * reach)
+        both = come & (go << (left - gap))
+        at = both.bit_length() - 1
+        best = [k + a - b for k, a, b in zip(base, _taken(lengths, way_in, at), _taken(lengths, way_out, at - left + gap))]
+        if gap == 0:
             break
-    at = (reach & full).bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += k
-            at -= k * lengths[i]
-    return taken
+    return best
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -97,3 +131,22 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     both = targets.select("source", "target_share").join(got, "source", "left").fillna(0, ["n_docs", "n_tokens"])
     total = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))  # over the targets, a few rows
     return both.withColumn("actual_share", F.when(total > 0, F.round(F.col("n_tokens") / total, 6)).otherwise(0.0))
+
+
+def mix_checks(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of every target: source, n_docs (with a text), n_twice (documents with two rows), n_over (more copies than allowed),
+    n_foreign (documents of another source), is_near: its share is within a hundredth of the wanted one, shares of sources without
+    documents spread over the others."""
+    own = docs.select("doc_id", F.col("source").alias("of")).where("text != ''")
+    wanted = F.broadcast(targets.select("source", "target_share", "max_repeats"))
+    per_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n_rows"), F.max("copies").alias("copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"))
+    seen = per_doc.join(own, "doc_id", "left").join(wanted, "source")
+    per = seen.groupBy("source").agg(
+        F.count_if(F.col("n_rows") > 1).alias("n_twice"), F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_over"), F.count_if(~F.col("of").eqNullSafe(F.col("source"))).alias("n_foreign"), F.sum("n_tokens").alias("n_tokens")
+    )
+    have = own.groupBy(F.col("of").alias("source")).agg(F.count("*").alias("n_docs"))
+    every = Window.partitionBy(F.lit(0))  # over the targets, a few rows
+    both = targets.select("source", "target_share").join(have, "source", "left").join(per, "source", "left").fillna(0)
+    share = F.when(F.col("n_docs") > 0, F.col("target_share")).otherwise(0.0)
+    near = F.abs(F.col("n_tokens") / F.sum("n_tokens").over(every) - share / F.sum(share).over(every)) < 0.01
+    return both.select("source", "n_docs", "n_twice", "n_over", "n_foreign", near.alias("is_near"))

@@ -50,6 +50,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_bins(spark, sf_dir), table(spark, sf_dir, "container_size"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, kinds = table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_size")
+    return packing.fill_checks(packing.fill_containers(docs, kinds), docs, kinds)
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
 
@@ -58,6 +63,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_checks(p7_mix(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
 
@@ -67,5 +76,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_confidence, p2_found, p2_paragraphs, p4_found, p4_titles, p5_found, p6_bins, p6_fill, p7_mix, p7_shares, p8_found, p8_share)
+    found = (p1_found, p1_confidence, p2_found, p2_paragraphs, p4_found, p4_titles, p5_found, p6_bins, p6_fill, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_share)
     return {f.__name__: f for f in found}

