@@ -20,11 +20,11 @@ def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr_repair.find_noise(table(spark, sf_dir, "card_transcription"))
+    return ocr_repair.find_noise(table(spark, sf_dir, "card_transcription"), table(spark, sf_dir, "db_record"))
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr_repair.repaired(table(spark, sf_dir, "card_transcription"))
+    return ocr_repair.repaired(table(spark, sf_dir, "card_transcription"), table(spark, sf_dir, "db_record"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

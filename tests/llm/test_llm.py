@@ -65,23 +65,43 @@ def test_canonical_forms(spark):
     assert got["null"].canon is None and not got["null"].is_disguised
 
 
-def test_trie_gives_all_words_one_error_away():
-    words = ["rozbor", "rozbory", "dodatek", "motor", "kniha"]
-    trie = ocr_repair.Trie(dict.fromkeys(words, 5))
-    assert {v for v, *_ in trie.near("rozboi")} == {"rozbor", "rozbory"}  # one character for two is one error
-    assert {v for v, *_ in trie.near("rozbor")} == {"rozbory"}
-    assert {v for v, *_ in trie.near("clodatek")} == {"dodatek"} and {v for v, *_ in trie.near("rnotor")} == {"motor"}
-    assert [(v, at) for v, _, at in trie.through("rnot0r", {"rn": ["m"], "0": ["o"]}, 2)] == [("motor", [0, 4])]
+def errors_between(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        p, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            p, d[j] = d[j], min(p + (x != y), d[j] + 1, d[j - 1] + 1)
+    return d[-1]
+
+
+def test_automaton_gives_all_words_two_errors_away():
+    rnd = random.Random(1)
+    some = lambda a, b: "".join(rnd.choices("abc", k=rnd.randint(a, b)))
+    words = sorted({some(1, 9) for _ in range(500)} | {"a" * 12, "ab" * 7})
+    front, rear = ocr_repair.Trie(words), ocr_repair.Trie(words, back=True)
+    for word in [some(1, 10) for _ in range(300)] + ["a" * 13, "ab" * 7]:
+        assert front.near(word) | rear.near(word) == {v for v in words if errors_between(word, v) <= 2}
+
+
+def test_ways_between_words():
+    assert list(ocr_repair.scripts("rnotor", "motor", 1)) == [[(0, "rn", "m")]]
+    assert [(2, "1", "i"), (4, "0", "o")] in list(ocr_repair.scripts("kn1h0", "kniho"))
+    assert not list(ocr_repair.scripts("abcdef", "uvwxyz"))
 
 
 def test_a_kind_of_error_is_judged_by_its_own_words(spark):
     rnd = random.Random(10)
     some = lambda k: "".join(rnd.choices("bdghjkpqstvwxz", k=k))
-    often = [f"{some(4)}o{some(4)}" for _ in range(150)]
-    seldom = [f"{some(4)}rn{some(4)}" for _ in range(3)]
-    rows = [(w, 200) for w in often + seldom] + [(w.replace("o", "0"), 1) for w in often] + [(w.replace("rn", "m"), 1) for w in seldom]
-    got = {r.word: (r.meant, r.places) for r in ocr_repair.misreadings(spark.createDataFrame(rows, "word string, n long"), 1000).collect()}
-    assert got == {w.replace("o", "0"): (w, [4]) for w in often} | {w.replace("rn", "m"): (w, [4]) for w in seldom}
+    often = [f"{some(4)}o{some(4)}" for _ in range(50)]
+    seldom = [f"{some(4)}äö{some(4)}" for _ in range(3)]
+    shape = f"{some(5)}i{some(4)}"
+    wrong = {w.replace("o", "ß"): (w, [4]) for w in often} | {w.replace("äö", "ñ"): (w, [4]) for w in seldom} | {shape.replace("i", "1"): (shape, [5])}
+    stray = {some(3) + "u" + w[4:] for w in often[:2]}
+    rows = [(w, 200) for w in [*often, *seldom, shape]] + [(w, 1) for w in {*wrong, *stray}]
+    df = spark.createDataFrame(rows, "word string, n long")
+    near = ocr_repair.near_words(df, df)
+    got = {r.word: (r.meant, r.places) for r in ocr_repair.misreadings(near, ocr_repair.error_kinds(near, df)).collect()}
+    assert got == wrong
 
 
 def test_noise_of_a_small_collection(spark):
@@ -96,6 +116,11 @@ def test_noise_of_a_small_collection(spark):
     got = {tuple(r) for r in ocr_repair.find_noise(df).collect()}
     assert {g for g in got if g[0] == "A/0"} == {("A/0", 0, "header"), ("A/0", 2, "hyphen"), ("A/0", 4, "page_no")}
     assert {g for g in got if g[0] == "A/90x"} == {("A/90x", 0, "header"), ("A/90x", 1, "misread"), ("A/90x", 2, "page_no")}
+    # a batch is judged as within the whole, by what was learned of it
+    learned = ocr_repair.learn(df)
+    part = df.where("card in ('A/90x', 'A/3', 'A/y')")
+    assert {tuple(r) for r in ocr_repair.find_noise(part, learned=learned).collect()} == {g for g in got if g[0] in ("A/90x", "A/3", "A/y")}
+    assert ocr_repair.find_noise(df.limit(0)).count() == 0
     text = {r.card: r.text for r in ocr_repair.repaired(df).collect()}
     assert " potvrzuje " in text["A/0"] and "VELKÁ" not in text["A/0"] and text["A/90x"].startswith("Mezitím dodatek ")
 
