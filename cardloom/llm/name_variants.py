@@ -1,10 +1,11 @@
 """Variant spellings of names typed by people (problem 5).
 
-Method: a name is a vector of the character trigrams of its words, weighted by how rare they are. Pairs come from a
-distributed sparse join: of each vector only the heaviest trigrams are joined, as many as any partner above the
-threshold must share one of, and partial products with an exact bound for the rest drop most pairs before the cosine is
-computed. No top-n cuts a partner off. An exact check of the parts of a name then marks a pair as like, unlike or
-unknown, and average-linkage clustering, in rounds of mutually nearest clusters, groups the spellings.
+Method: a name is a vector of character n-grams in three blocks, of the word that tells the person or firm, of the other
+words, and of their initials, weighted by how rare they are. Pairs come from a distributed sparse join on the first block,
+made of the distinct words rather than of the names: of each vector only the heaviest n-grams are joined, as many as any
+partner above the threshold must share one of. No top-n cuts a partner off. The cosine of the whole vectors, lowered
+where a check of the parts finds nothing alike and turned against the pair where it finds two different given names, is what
+average-linkage clustering, in rounds of mutually nearest clusters, groups the spellings by.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.runtime import materialize
+from cardloom.runtime import materialize, release
 
-# Short forms of given names, without accents.
+# Short forms of given names, without accents; others are learned from the names, see `learned_forms`.
 NICKNAMES = {
     "andula": "anna", "anca": "anna", "anicka": "anna", "tonda": "antonin", "tonik": "antonin", "bohous": "bohumil", "bohus": "bohumil",
     "boza": "bozena", "bozka": "bozena", "ctik": "ctirad", "dasa": "dagmar", "dusek": "dusan", "elka": "eliska", "eli": "eliska",
@@ -99,15 +100,25 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.assign(tok=tok, lead=pd.array(lead, dtype="int32"))
 
 
-def _grams(words: list[str]) -> set[str]:
-    """Trigrams of the words, and of longer words the set of letters, which swapped or doubled letters leave alone."""
-    out = set()
-    for w in words:
-        if len(w) > 4 and not w.endswith("."):
-            out.add("#" + "".join(sorted(set(w))))
-        w = f"^{w.rstrip('.')}$"
-        out.update(w[i : i + 3] for i in range(max(1, len(w) - 2)))
-    return out
+#: Shares of the blocks in a vector: the word that tells, other words, their initials.
+BLOCKS = {"k": 0.6, "g": 0.2, "i": 0.2}
+#: What the check of the parts takes from the cosine: nothing where they are alike, SILENT where it can't tell, AGAINST where given names differ.
+SILENT, AGAINST = 0.5, 1.5
+
+
+def _grams(word: str) -> set[str]:
+    """Trigrams of a word, and the set of its letters, which swapped or doubled letters leave alone."""
+    w = word.rstrip(".")
+    out = {"#" + "".join(sorted(set(w)))} if len(w) > 3 and not word.endswith(".") else set()
+    w = f"^{w}$"
+    return out | {w[i : i + 3] for i in range(max(1, len(w) - 2))}
+
+
+def _features(key: str, rest: list[str], common: list[bool], firm: bool) -> set[str]:
+    """Grams by block. Of a person's other words the first counts, by its full form; of a firm's those that not many have."""
+    others = [w for w, c in zip(rest, common) if not c] if firm else [NICKNAMES.get(w, w) for w in rest[:1]]
+    out = {"k" + g for g in _grams(key)} | {"i" + w[:1] for w in others}
+    return out | {"g" + g for w in others if len(w.rstrip(".")) > 1 for g in _grams(w)}
 
 
 def parsed_names(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -157,8 +168,8 @@ def parsed_names(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return names.join(parts, "id").select("id", "field", "name", "tok", "key", "rest", "common")
 
 
-def _check(field: str, a: tuple, b: tuple) -> int:
-    """1 like, -1 unlike, 0 unknown; a, b: key, rest, common."""
+def _check(field: str, a: tuple, b: tuple, same_given: bool = False) -> int:
+    """1 like, -1 unlike, 0 unknown; a, b: key, rest, common; same_given: whether the given names are known as forms of one."""
     (key_a, rest_a, com_a), (key_b, rest_b, com_b) = a, b
     same_key = one_typo(key_a, key_b) and min(len(key_a), len(key_b)) >= 3
     if field == "publisher":
@@ -174,70 +185,110 @@ def _check(field: str, a: tuple, b: tuple) -> int:
         return 1 if same_key and not rest_a and not rest_b else 0
     if not same_key:
         return 0
-    if given_alike(rest_a[0], rest_b[0], com_a[0], com_b[0]):
+    if same_given or given_alike(rest_a[0], rest_b[0], com_a[0], com_b[0]):
         return 1
     # a rare given name may be a mistyped one: that says nothing
     sure = all(c or x.endswith(".") or x in NICKNAMES for x, c in ((rest_a[0], com_a[0]), (rest_b[0], com_b[0])))
     return -1 if sure else 0
 
 
-def similar_pairs(names: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """Pairs of names of one field with cosine >= threshold: field, a, b (a < b), cosine, verdict of the exact check.
+def _weight(n_all: Column) -> Column:
+    """How much a gram counts: more the rarer it is, but by the root only, as the rarest ones are those of a slip of the pen."""
+    return F.sqrt(F.log(1 + n_all / (F.col("df") + 0.003 * n_all)))
+
+
+def learned_forms(names: DataFrame, least: int = 4, lift: float = 10.0) -> DataFrame:
+    """given_a, given_b (both orders): given names that stand with the same surnames so much oftener than chance would have it
+    that they are forms of one: with `least` surnames and `lift` times the expected number."""
+    given = F.regexp_replace(F.get("rest", F.lit(0)), r"\.$", "")
+    own = names.where("field = 'author'").select("key", given.alias("given")).where("length(given) >= 3").distinct()
+    n_of = own.groupBy("given").agg(F.count("*").alias("n"))
+    total = own.agg(F.count_distinct("key").alias("n_keys"))  # one row
+    pair = own.select("key", F.col("given").alias("given_a")).join(own.select("key", F.col("given").alias("given_b")), "key").where("given_a != given_b")
+    met = pair.groupBy("given_a", "given_b").agg(F.count("*").alias("n_met")).where(F.col("n_met") >= least)
+    both = met.join(n_of.select(F.col("given").alias("given_a"), F.col("n").alias("na")), "given_a").join(n_of.select(F.col("given").alias("given_b"), F.col("n").alias("nb")), "given_b")
+    return both.join(F.broadcast(total)).where(F.col("n_met") * F.col("n_keys") >= lift * F.col("na") * F.col("nb")).select("given_a", "given_b")
+
+
+def _near_keys(names: DataFrame, threshold: float) -> DataFrame:
+    """field, key_a, key_b (both orders and each with itself): telling words whose n-gram vectors have a cosine >= threshold."""
+    keys = names.select("field", "key").distinct()
 
-    names: as parsed_names gives them. Every pair at or above the threshold comes out, whatever the number of partners.
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(gram=[sorted(_grams(k)) for k in f["key"]]).explode("gram")[["field", "key", "gram"]]
+
+    grams = materialize(keys.mapInPandas(explode, "field string, key string, gram string"))
+    df = grams.groupBy("field", "gram").agg(F.count("*").alias("df"))
+    total = keys.groupBy("field").agg(F.count("*").alias("n_keys"))  # a row a field
+    idf = df.join(F.broadcast(total), "field").withColumn("w0", _weight(F.col("n_keys")))
+    own = Window.partitionBy("field", "key")
+    rare = own.orderBy(F.asc("df"), F.asc("gram"))
+    vec = grams.join(idf, ["field", "gram"]).withColumn("w", F.col("w0") / F.sqrt(F.sum(F.col("w0") * F.col("w0")).over(own)))
+    vec = vec.withColumn("left2", F.lit(1.0) - F.coalesce(F.sum(F.col("w") * F.col("w")).over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    vec = materialize(vec.select("field", "key", "gram", "w", "left2"))
+    # the rarest grams until what is left is below the threshold: a partner must share one of them
+    head = vec.where(F.col("left2") >= threshold * threshold * 0.9999).select("field", "key", "gram")
+    a, b = head.withColumnRenamed("key", "key_a"), head.withColumnRenamed("key", "key_b")
+    found = a.join(b, ["field", "gram"]).where("key_a < key_b").select("field", "key_a", "key_b").distinct()
+    whole = vec.groupBy("field", "key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
+    side = lambda s: whole.select("field", F.col("key").alias(f"key_{s}"), F.col("v").alias(f"v_{s}"))
+    dot = F.aggregate(F.map_entries("v_a"), F.lit(0.0), lambda acc, x: acc + x["value"] * F.coalesce(F.try_element_at("v_b", x["key"]), F.lit(0.0)))
+    near = materialize(found.join(side("a"), ["field", "key_a"]).join(side("b"), ["field", "key_b"]).where(dot >= threshold).select("field", "key_a", "key_b"))
+    same = keys.select("field", F.col("key").alias("key_a"), F.col("key").alias("key_b"))
+    return near.unionByName(near.select("field", F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))).unionByName(same)
+
+
+def similar_pairs(names: DataFrame, threshold: float = 0.4, key_threshold: float = 0.25) -> DataFrame:
+    """Pairs of names of one field with cosine >= threshold: field, a, b (a < b), cosine, verdict of the check of the parts.
+
+    names: as parsed_names gives them. Every pair at or above the threshold whose telling words have at least
+    `key_threshold` comes out, whatever the number of partners.
     """
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            g = [sorted(_grams(list(t))) for t in f["tok"]]
+            g = [sorted(_features(k, list(r), list(c), field == "publisher")) for field, k, r, c in zip(f["field"], f["key"], f["rest"], f["common"])]
             yield pd.DataFrame({"id": f["id"], "field": f["field"], "gram": g}).explode("gram").dropna()
 
-    grams = names.select("id", "field", "tok").mapInPandas(explode, "id long, field string, gram string")
+    grams = materialize(names.select("id", "field", "key", "rest", "common").mapInPandas(explode, "id long, field string, gram string"))
     df = grams.groupBy("field", "gram").agg(F.count("*").alias("df"))
     total = names.groupBy("field").agg(F.count("*").alias("n_names"))  # a row a field
-    idf = df.join(F.broadcast(total), "field").withColumn("w0", F.pow(F.log(1 + F.col("n_names") / (F.col("df") + 0.003 * F.col("n_names"))), 3))
-    w = Window.partitionBy("id")
-    rare = Window.partitionBy("id").orderBy(F.asc("df"), F.asc("gram"))
-    vec = (
-        grams.join(idf, ["field", "gram"])
-        .withColumn("w", F.col("w0") / F.sqrt(F.sum(F.col("w0") * F.col("w0")).over(w)))
-        .withColumn("rest2", F.lit(1.0) - F.sum(F.col("w") * F.col("w")).over(rare.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("rest2", F.coalesce("rest2", F.lit(1.0)))
-    )
-    vec = materialize(vec.select("id", "field", "gram", "w", "rest2"))
-    # the heaviest grams until what is left is below the threshold: a partner must share one of them
-    head = vec.where(F.col("rest2") >= threshold * threshold * 0.9999)
-    kept = head.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("h2"))
-    head = head.join(kept, "id").withColumn("tail", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("h2"))))
-    a = head.select("field", "gram", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("tail").alias("ta"))
-    b = head.select("field", "gram", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("tail").alias("tb"))
-    part = (
-        a.join(b, ["field", "gram"])
-        .where("a < b")
-        .groupBy("field", "a", "b")
-        .agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.max(F.col("ta") * F.col("tb")).alias("slack"))
-        .where(F.col("dot") + F.col("slack") >= threshold)
-    )
+    idf = df.join(F.broadcast(total), "field").withColumn("w0", _weight(F.col("n_names")))
+    block = F.substring("gram", 1, 1)
+    share = F.create_map(*[F.lit(x) for kv in BLOCKS.items() for x in kv])
+    of_block = F.sum(F.col("w0") * F.col("w0")).over(Window.partitionBy("id", "block"))
+    scaled = grams.join(idf, ["field", "gram"]).withColumn("block", block).withColumn("w1", F.col("w0") * F.sqrt(share[F.col("block")] / of_block))
+    vec = scaled.withColumn("w", F.col("w1") / F.sqrt(F.sum(F.col("w1") * F.col("w1")).over(Window.partitionBy("id"))))
     vecs = vec.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
-    full = materialize(names.join(vecs, "id").select("id", "key", "rest", "common", "v"))
-    side = lambda s: full.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "rest", "common", "v")])
+    full = materialize(names.join(vecs, "id").select("id", "field", "key", "rest", "common", "v"))
+    side = lambda s: full.select("field", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "rest", "common", "v")])
+    given = lambda s: F.regexp_replace(F.get(f"rest_{s}", F.lit(0)), r"\.$", "").alias(f"given_{s}")
+    forms = materialize(learned_forms(names)).withColumn("same_given", F.lit(True))
+    both = _near_keys(names, key_threshold).join(side("a"), ["field", "key_a"]).join(side("b"), ["field", "key_b"]).where("a < b")
+    both = both.withColumns({"given_a": given("a"), "given_b": given("b")}).join(forms, ["given_a", "given_b"], "left").withColumn("same_given", F.coalesce("same_given", F.lit(False)))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             cos, verdict = [], []
             for r in f.itertuples(index=False):
                 va, vb = dict(r.v_a), dict(r.v_b)
-                cos.append(math.fsum(x * vb[g] for g, x in va.items() if g in vb))
-                verdict.append(_check(r.field, (r.key_a, list(r.rest_a), list(r.common_a)), (r.key_b, list(r.rest_b), list(r.common_b))))
+                cos.append(min(1.0, math.fsum(x * vb[g] for g, x in va.items() if g in vb)))
+                verdict.append(_check(r.field, (r.key_a, list(r.rest_a), list(r.common_a)), (r.key_b, list(r.rest_b), list(r.common_b)), r.same_given))
             out = pd.DataFrame({"field": f["field"], "a": f["a"], "b": f["b"], "cosine": cos, "verdict": pd.array(verdict, dtype="int32")})
             yield out[out["cosine"] >= threshold]
 
-    both = part.join(side("a"), "a").join(side("b"), "b")
-    cols = ["field", "a", "b", "key_a", "rest_a", "common_a", "v_a", "key_b", "rest_b", "common_b", "v_b"]
+    cols = ["field", "a", "b", "key_a", "rest_a", "common_a", "v_a", "key_b", "rest_b", "common_b", "v_b", "same_given"]
     return both.select(*cols).mapInPandas(judge, "field string, a long, b long, cosine double, verdict int")
 
 
-def average_linkage(ids: DataFrame, sims: DataFrame, threshold: float, max_rounds: int = 60) -> DataFrame:
+def similarity(cosine: Column, verdict: Column) -> Column:
+    """What the linkage goes by: the cosine, less what the check of the parts takes from it; 0 where that leaves nothing for a silent check."""
+    silent = F.greatest(cosine - SILENT, F.lit(0.0))
+    return F.when(verdict > 0, cosine).when(verdict < 0, cosine - AGAINST).otherwise(silent)
+
+
+def average_linkage(ids: DataFrame, sims: DataFrame, threshold: float) -> DataFrame:
     """Clusters (id, cluster) by average linkage: pairs of clusters, each the other's nearest, merge while their mean
     similarity over all cross pairs, missing ones being 0, is at least the threshold.
 
@@ -247,7 +298,7 @@ def average_linkage(ids: DataFrame, sims: DataFrame, threshold: float, max_round
     """
     members = materialize(ids.select("id", F.col("id").alias("cluster")))
     links = materialize(sims.select("a", "b", F.col("sim").alias("total"), F.lit(1).alias("size_a"), F.lit(1).alias("size_b")))
-    for _ in range(max_rounds):
+    while True:  # every round merges the best pair at least
         mean = links.withColumn("mean", F.col("total") / (F.col("size_a") * F.col("size_b"))).where(F.col("mean") >= threshold)
         both = mean.select(F.col("a").alias("x"), F.col("b").alias("y"), "mean").union(mean.select("b", "a", "mean"))
         # pairs are ordered alike seen from either side, so a best pair is always mutual
@@ -256,7 +307,9 @@ def average_linkage(ids: DataFrame, sims: DataFrame, threshold: float, max_round
         back = nearest.select(F.col("x").alias("y"), F.col("y").alias("x"))
         merge = materialize(nearest.join(back, ["x", "y"]).where("x < y").select(F.col("y").alias("old"), F.col("x").alias("new")))
         if merge.isEmpty():
-            break
+            release(links, merge)
+            return members
+        old = (members, links, merge)
         members = materialize(
             members.join(merge, F.col("cluster") == F.col("old"), "left").select("id", F.coalesce("new", "cluster").alias("cluster"))
         )
@@ -275,18 +328,17 @@ def average_linkage(ids: DataFrame, sims: DataFrame, threshold: float, max_round
             .join(sizes.select(F.col("cluster").alias("b"), F.col("size").alias("size_b")), "b")
             .select("a", "b", "total", "size_a", "size_b")
         )
-    return members
+        release(*old)
 
 
-def name_clusters(records: DataFrame, fields: tuple[str, ...] = ("author", "publisher"), threshold: float = 0.25, linkage: float = 0.05) -> DataFrame:
+def name_clusters(records: DataFrame, fields: tuple[str, ...] = ("author", "publisher"), threshold: float = 0.4, linkage: float = 0.2) -> DataFrame:
     """field, name, cluster: spellings of one person or firm share a cluster.
 
     Null and blank names have no row, repeated rows and names count once, and an empty table gives an empty result.
     """
     names = materialize(parsed_names(records, fields))
-    pairs = similar_pairs(names, threshold)
-    sims = pairs.where("verdict != 0").select("a", "b", F.when(F.col("verdict") > 0, 0.5 + F.col("cosine") / 2).otherwise(-1.0).alias("sim"))
-    clusters = average_linkage(names.select("id"), sims, linkage)
+    pairs = similar_pairs(names, threshold).select("a", "b", similarity(F.col("cosine"), F.col("verdict")).alias("sim")).where("sim != 0")
+    clusters = average_linkage(names.select("id"), pairs, linkage)
     return names.join(clusters, "id").select("field", "name", "cluster")
 
 

@@ -138,6 +138,25 @@ def test_names(spark):
     assert not any("Karel" in a + b and "Bož" in a + b for a, b in got)
 
 
+def test_the_cosine_decides_where_the_parts_say_nothing(spark):
+    names = ["Hokalalák, Hynek", "Hokalalák, Joesf", "Hokalalák, H.", "Pesumapek, Josef", "Peumapek, Josef", "Corohenin, Vusovin", "Corhoennin, Vusovin"]
+    rnd = random.Random(3)
+    some = lambda: "".join(rnd.choice("bdfghklmprst") + rnd.choice("aeiou") for _ in range(4)).capitalize() + "ek"
+    others = [f"{some()}, {g}" for g in ["Hynek", "Josef", "H.", "Emil"] * 60]
+    df = spark.createDataFrame([(n, None) for n in names + others], "author string, publisher string")
+    parsed = name_variants.parsed_names(df, ("author",))
+    pairs = name_variants.similar_pairs(parsed)
+    name = {r.id: r.name for r in parsed.collect()}
+    linked = {}
+    for how, cosine in (("on", F.col("cosine")), ("off", F.lit(1.0))):
+        sims = pairs.select("a", "b", name_variants.similarity(cosine, F.col("verdict")).alias("sim")).where("sim != 0")
+        linked[how] = {name[r.id]: r.cluster for r in name_variants.average_linkage(parsed.select("id"), sims, 0.2).collect()}
+    same = lambda how, a, b: linked[how][a] == linked[how][b]
+    assert same("on", names[0], names[2]) and same("on", names[3], names[4]) and not same("on", names[0], names[1])
+    groups = lambda how: len(set(linked[how].values()))
+    assert groups("off") < groups("on")  # without it, names that only look a little alike are linked
+
+
 def test_average_linkage_against_one_by_one(spark):
     rnd = random.Random(4)
     ids = list(range(12))
