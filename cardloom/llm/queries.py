@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm import canonical, mixing, name_variants, ocr_repair, packing, shared_spans, soft_linkage
+from cardloom.operators.linkage import mapping
 from cardloom.runtime import table
 
 
@@ -16,7 +17,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return soft_linkage.link(table(spark, sf_dir, "card_transcription"), table(spark, sf_dir, "db_record"))
+    known = mapping(table(spark, sf_dir, "card_mapping"))
+    return soft_linkage.link(table(spark, sf_dir, "card_transcription"), table(spark, sf_dir, "db_record"), known)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,3 +251,26 @@ def test_linkage_without_one_of_the_first_title_words(spark, title, numbers):
     text = f"Novák, Jan\n{title.replace('#', 'x')} /\nBrno, Dimov {numbers}"
     got = soft_linkage.link(spark.createDataFrame([("A/1", text)], "card string, transcription string"), spark.createDataFrame(rec, cols)).collect()
     assert [(r.card, r.db_id) for r in got] == [("A/1", "000000001")]
+
+
+def test_ties_pull_cards_of_one_description(spark):
+    rows = [("A", "1", 3.0, 2.0, 7, False), ("B", "1", 2.0, 3.0, 7, False), ("C", "1", 2.0, 3.0, 8, False), ("B", "2", 1.0, 4.0, 7, False), ("D", "3", 1.0, 1.0, 0, True)]
+    df = spark.createDataFrame(rows, "card string, db_id string, pro double, con double, same long, free boolean")
+    got = {(r.card, r.db_id): r.x for r in soft_linkage.soft_values(df, close=1e-4).collect()}
+    # A and B share one value, the others are as they would be alone
+    assert got["A", "1"] == pytest.approx(0.5, abs=0.01) and got["B", "1"] == pytest.approx(got["A", "1"], abs=1e-3)
+    assert got["C", "1"] == pytest.approx(0.4, abs=1e-3) and got["B", "2"] == pytest.approx(0.2, abs=1e-3) and got["D", "3"] == pytest.approx(0.5, abs=1e-3)
+
+
+def test_weights_follow_the_labels():
+    rng = np.random.default_rng(1)
+    n = 4000
+    right = rng.random(n) < 0.3
+    agree = (rng.random((n, 9)) < 0.5) * 1.0
+    agree[:, 4] = right  # the mark tells, the subtitle misleads
+    agree[:, 8] = ~right
+    differ = np.zeros((n, 9))
+    w, v = soft_linkage.fit_weights(agree, differ, right.astype(float))
+    assert w[4] > soft_linkage.FOR[4] and w[8] < soft_linkage.FOR[8] and (w >= 0).all() and np.allclose(v, soft_linkage.AGAINST)
+    same = soft_linkage.fit_weights(np.zeros((0, 9)), np.zeros((0, 9)), np.zeros(0))
+    assert np.allclose(same[0], soft_linkage.FOR)
