@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.distance import align_substring, cer, infix_table
 from cardloom.operators.spans import resolve_overlaps
+from cardloom.runtime import materialize
 
 #: A field with more lines than this gets none.
 MAX_LINES = 5
@@ -74,16 +75,6 @@ def candidate_fields(values: list[str], line: str) -> list[int]:
     return out
 
 
-def _cer(hyp: str, ref: str) -> float:
-    a, b = hyp.lower(), ref.lower()
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1] / len(ref) if ref else float("inf")
-
-
 def place_field(lines: list[tuple[int, str]], ref: str) -> list[tuple[int, int]]:
     """Spans of the lines, given as (start, text) in order, trimmed to what the field matches; lines one character apart
     are one span."""
@@ -104,52 +95,51 @@ def place_field(lines: list[tuple[int, str]], ref: str) -> list[tuple[int, int]]
     return out
 
 
-def align_card(lines: list[tuple[int, str]], fields: list[tuple[str, str]], threshold: float = 0.8, max_lines: int = MAX_LINES) -> list[tuple[str, int, int]]:
-    """Labelled spans of one card by its lines (start, text) and fields (label, text)."""
-    values = [v for _, v in fields]
-    groups: dict[int, list[tuple[int, str]]] = {}
-    for line in lines:
-        found = candidate_fields(values, line[1])
-        if found:
-            groups.setdefault(min(found, key=lambda k: (_cer(line[1], values[k]), k)), []).append(line)
-    out = []
-    for k, own in groups.items():
-        if len(own) > max_lines:
-            continue
-        best, chosen = 1.0, ()
-        for size in range(1, len(own) + 1):
-            for subset in itertools.combinations(own, size):
-                for perm in itertools.permutations(subset):
-                    c = _cer(" ".join(t for _, t in perm), values[k])
-                    if c < best:
-                        best, chosen = c, perm
-        spans = place_field(list(chosen), values[k])
-        texts = {s: t for s, t in own}
-        joined = " ".join(next(t[a - s : b - s] for s, t in texts.items() if s <= a < s + len(t)).strip() for a, b in spans)
-        if spans and _cer(joined, values[k]) < threshold:
-            out += [(fields[k][0], a, b) for a, b in spans]
-    return out
+def candidate_lines(pairs: DataFrame, lines: DataFrame, labels: DataFrame, text=lambda c: c) -> DataFrame:
+    """card, line_no, label_ord: the fields each line of a linked card may belong to, see `candidate_fields`."""
+    ls = lines.groupBy("card").agg(F.collect_list(F.struct("line_no", text(F.col("line")).alias("line"))).alias("lines"))
+    vs = labels.where("text != ''").groupBy("db_id").agg(F.sort_array(F.collect_list(F.struct("label_ord", text(F.col("text")).alias("text")))).alias("fields"))
+    both = pairs.select("card", "db_id").distinct().join(ls, "card").join(vs, "db_id")
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for card, own, fields in zip(f["card"], f["lines"], f["fields"]):
+                values = [x["text"] for x in fields]
+                for x in own:
+                    out += [(card, x["line_no"], fields[k]["label_ord"]) for k in candidate_fields(values, x["line"])]
+            yield pd.DataFrame(out, columns=["card", "line_no", "label_ord"])
 
-def _per_card(pairs: DataFrame, lines: DataFrame, labels: DataFrame) -> DataFrame:
-    ls = lines.groupBy("card").agg(F.sort_array(F.collect_list(F.struct("line_no", "line_start", "line"))).alias("lines"))
-    vs = labels.where("text != ''").groupBy("db_id").agg(F.sort_array(F.collect_list(F.struct("label_ord", "label", "text"))).alias("fields"))
-    return pairs.select("card", "db_id").join(ls, "card").join(vs, "db_id")
+    return both.mapInPandas(run, "card string, line_no int, label_ord int")
 
 
-def align_cards(pairs: DataFrame, lines: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """card, label, start_pos, end_pos of all linked cards by the first aligner, overlaps resolved (the outer of nested
-    spans goes). A record is matched as one text, so the unit of work is one card."""
+def align_cards(pairs: DataFrame, lines: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float = 0.8, max_lines: int = MAX_LINES) -> DataFrame:
+    """card, label, start_pos, end_pos of all linked cards by the first aligner, overlaps resolved (the outer of nested spans goes).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A line goes to the nearest of its candidate fields; of a field's lines (none if there are more than max_lines) the best
+    ordered subset is taken, trimmed to what matches and, if near enough, kept. Distances and subsets are column
+    expressions; only the character alignment works on Arrow batches.
+    """
+    fields = labels.where("text != ''").select("db_id", "label", "label_ord", F.col("text").alias("ref"))
+    linked = pairs.select("card", "db_id").distinct().join(fields, "db_id")
+    found = candidate_lines(pairs, lines, labels).join(linked, ["card", "label_ord"]).join(lines, ["card", "line_no"])
+    near = found.groupBy("card", "line_no", "line", "line_start").agg(F.min(F.struct(cer(F.col("line"), F.col("ref")).alias("cer"), "label_ord", "label", "ref")).alias("b"))
+    own = near.groupBy("card", F.col("b.label").alias("label"), F.col("b.ref").alias("ref")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line_start", "line"))).alias("x"))
+    groups = materialize(own.where(F.size("x") <= max_lines).withColumn("lines", F.transform("x", lambda x: x["line"])))
+    best = best_permutation(groups.select("card", "label", "lines", "ref")).join(groups.select("card", "label", "x", "ref"), ["card", "label"])
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for card, ls, vs in zip(f["card"], f["lines"], f["fields"]):
-                spans = align_card([(x["line_start"], x["line"]) for x in ls], [(x["label"], x["text"]) for x in vs], threshold)
-                out += [(card, *s) for s in spans]
-            yield pd.DataFrame(out, columns=["card", "label", "start_pos", "end_pos"])
-
-    spans = _per_card(pairs, lines, labels).mapInPandas(run, "card string, label string, start_pos int, end_pos int")
+            for card, label, perm, x, ref in zip(f["card"], f["label"], f["perm"], f["x"], f["ref"]):
+                chosen = [(x[i]["line_start"], x[i]["line"]) for i in perm]
+                spans = place_field(chosen, ref)
+                cut = [next(t[a - s : b - s] for s, t in chosen if s <= a < s + len(t)).strip() for a, b in spans]
+                out += [(card, label, a, b, " ".join(cut), ref) for a, b in spans]
+            yield pd.DataFrame(out, columns=["card", "label", "start_pos", "end_pos", "joined", "ref"])
+
+    placed = best.select("card", "label", "perm", "x", "ref").mapInPandas(place, "card string, label string, start_pos int, end_pos int, joined string, ref string")
+    spans = placed.where(cer(F.col("joined"), F.col("ref")) < threshold).select("card", "label", "start_pos", "end_pos")
     return resolve_overlaps(spans, "outer", texts)
 
 
@@ -176,11 +166,11 @@ def best_near_match(text: str, ref: str, limit: int) -> tuple[int, int, int] | N
     return dist, end - best[1], end
 
 
-def best_fuzzy_match(pairs: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+def best_fuzzy_match(pairs: DataFrame, texts: DataFrame, labels: DataFrame, text=lambda c: c) -> DataFrame:
     """card, label, dist, start_pos, end_pos: the nearest place of every field in the card's text, if the distance is at
     most 0.6 of the field's length and 12. Texts are gathered once a card, not once a field."""
-    vs = labels.where("text != ''").groupBy("db_id").agg(F.sort_array(F.collect_list(F.struct("label_ord", "label", "text"))).alias("fields"))
-    both = pairs.select("card", "db_id").join(texts.select("card", "transcription"), "card").join(vs, "db_id")
+    vs = labels.where("text != ''").groupBy("db_id").agg(F.sort_array(F.collect_list(F.struct("label_ord", "label", text(F.col("text")).alias("text")))).alias("fields"))
+    both = pairs.select("card", "db_id").join(texts.select("card", text(F.col("transcription")).alias("transcription")), "card").join(vs, "db_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -195,7 +185,7 @@ def best_fuzzy_match(pairs: DataFrame, texts: DataFrame, labels: DataFrame) -> D
     return both.mapInPandas(run, "card string, label string, dist int, start_pos int, end_pos int")
 
 
-def align_fuzzy(pairs: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+def align_fuzzy(pairs: DataFrame, texts: DataFrame, labels: DataFrame, text=lambda c: c) -> DataFrame:
     """card, label, start_pos, end_pos by the second aligner, overlaps resolved (the inner of nested spans goes)."""
-    found = best_fuzzy_match(pairs, texts, labels).where("end_pos > start_pos")
+    found = best_fuzzy_match(pairs, texts, labels, text).where("end_pos > start_pos")
     return resolve_overlaps(found.select("card", "label", "start_pos", "end_pos"), "inner")

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cardloom.operators.sequence import label_islands, token_offsets
+from cardloom.operators.sequence import aggregate_confidence, label_islands, token_offsets
 
 #: Takes the words of one text and gives (label, confidence) of each.
 Predict = Callable[[list[str]], list[tuple[str, float]]]
@@ -31,7 +32,8 @@ def predict_words(cards: DataFrame, predict: Predict) -> DataFrame:
     return whole.mapInPandas(run, "card string, tok_ord int, token string, start_pos int, end_pos int, label string, conf double")
 
 
-def predicted_spans(words: DataFrame) -> DataFrame:
-    """card, island, label, n, first, last, values: runs of equal labels but 'O', with the confidences of their words."""
-    runs = label_islands(words, "card", ["start_pos", "tok_ord"], "label", "conf")
-    return runs.where("label != 'O'")
+def predicted_spans(words: DataFrame, how: str = "mean", least: float | None = None) -> DataFrame:
+    """card, island, label, n, first, last, confidence: runs of equal labels but 'O', with the aggregated confidence of their
+    words; least: runs below it are left out, unset none is."""
+    runs = aggregate_confidence(label_islands(words, "card", ["start_pos", "tok_ord"], "label", "conf").where("label != 'O'"), how)
+    return runs if least is None else runs.where(F.col("confidence") >= least)

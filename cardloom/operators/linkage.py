@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.distance import infix_distance
+from cardloom.runtime import materialize
 
 
 def card_of_file(name: Column) -> Column:
@@ -16,13 +19,25 @@ def card_of_file(name: Column) -> Column:
     return F.substring_index(F.replace(name, F.lit("-"), F.lit("/")), ".", 1)
 
 
-def mapping(rows: DataFrame) -> DataFrame:
-    """card, db_id, score, one row a card: of several the one with the highest score holds, then the largest id."""
-    named = rows.select(card_of_file(F.col("card_file")).alias("card"), "db_id", "score").where("card is not null")
-    best = named.groupBy("card").agg(F.max(F.struct("score", "db_id")).alias("b"))
+def mapping(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """card, db_id, score, one row a card. Of several the last by the `order` column holds, as in a file that is read line by
+    line; a table without an order has the one with the highest score instead, then the largest id."""
+    last = F.struct("score", "db_id") if order is None else F.struct(order, "score", "db_id")
+    named = rows.withColumn("card", card_of_file(F.col("card_file"))).where("card is not null")
+    best = named.groupBy("card").agg(F.max_by(F.struct("db_id", "score"), last).alias("b"))
     return best.select("card", "b.db_id", "b.score")
 
 
+def numbered(rows: DataFrame, order: list[Column], into: str = "rank") -> DataFrame:
+    """rows with their number from 1 in the given order, which must tell all rows apart. Ranges of the order are ranked each by
+    itself and moved up by the sizes of those before, so no task holds all rows or all of one value."""
+    parts = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(F.broadcast(sizes), "_part").withColumn(into, (F.col("_above") + own).cast("int")).drop("_part", "_above")
+
+
 def latest_texts(cards: DataFrame) -> DataFrame:
     """card, transcription, one row a card that has a text."""
     kept = cards.select("card", "transcription").where("card is not null and transcription is not null")
@@ -30,7 +45,7 @@ def latest_texts(cards: DataFrame) -> DataFrame:
 
 
 def card_lines(cards: DataFrame) -> DataFrame:
-    """card, line_no, line, line_start of lines that hold two characters or more, white space at the ends removed.
+    """card, line_no, line, line_start of lines that hold two characters or more (an unended last one: three), white space at the ends removed.
 
     The start is where the trimmed line stands in the raw text, so equal lines are told apart.
     """
@@ -40,7 +55,9 @@ def card_lines(cards: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum(F.length("raw") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = F.length("raw") - F.length(F.ltrim("raw"))
     placed = each.withColumn("line_start", (start + lead).cast("int")).withColumn("line", F.trim("raw"))
-    return placed.where("length(raw) >= 2 and line != ''").select("card", "line_no", "line", "line_start")
+    # what counts is the length with the line break, which the last line lacks
+    least = F.when(F.col("line_no") == F.max("line_no").over(Window.partitionBy("card")), 3).otherwise(2)
+    return placed.withColumn("least", least).where((F.length("raw") >= F.col("least")) & (F.col("line") != "")).select("card", "line_no", "line", "line_start")
 
 
 def card_record_join(links: DataFrame, cards: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,46 +95,67 @@ def union_prefixed(parts: dict[str, DataFrame], key: str) -> DataFrame:
 
 
 def ranked_matches(links: DataFrame) -> DataFrame:
-    """Links with rank by score, highest first, ties by the whole line backwards; a range-partitioned sort, and ranks by
-    the counts of the scores above, so no task holds all rows."""
+    """Links with rank by score, highest first, ties by the whole line backwards."""
     line = F.concat_ws(" ", "card", "db_id", "score")
-    counts = links.groupBy("score").agg(F.count("*").alias("n"))
-    above = counts.select("score", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))  # a row a score
-    own = F.row_number().over(Window.partitionBy("score").orderBy(F.desc(line), F.desc("card"), F.desc("db_id")))
-    return links.join(above, "score").withColumn("rank", (F.col("above") + own).cast("int")).select("card", "db_id", "score", "rank")
+    return numbered(links.select("card", "db_id", "score"), [F.desc("score"), line.desc(), F.desc("card"), F.desc("db_id")])
 
 
 def task_numbering(texts: DataFrame) -> DataFrame:
-    """id from 1 in order of the card, card, task as JSON. Numbers come from the counts of the directories before, not from one sorted task."""
-    sizes = texts.select("card", F.substring_index("card", "/", 3).alias("dir")).groupBy("dir").agg(F.count("*").alias("n"))
-    before = sizes.select("dir", F.coalesce(F.sum("n").over(Window.orderBy("dir").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a directory
-    named = texts.select("card", "transcription").withColumn("dir", F.substring_index("card", "/", 3)).join(before, "dir")
-    own = F.row_number().over(Window.partitionBy("dir").orderBy("card"))
-    row = named.withColumn("id", (F.col("before") + own).cast("int"))
+    """id from 1 in order of the card, card, task as JSON."""
+    row = numbered(texts.select("card", "transcription"), [F.asc("card")], "id")
     return row.select("id", "card", F.to_json(F.struct("id", F.struct(F.col("card").alias("text"), F.col("transcription").alias("body")).alias("data"))).alias("task"))
 
 
+def union_dumps(dumps: list[DataFrame]) -> DataFrame:
+    """Lines of several dumps one after the other: part (from 0), and the columns of each; equal lines all stay."""
+    return reduce(DataFrame.unionByName, [d.withColumn("part", F.lit(i)) for i, d in enumerate(dumps)])
+
+
+def resplit(train: DataFrame, test: DataFrame, run) -> tuple[DataFrame, DataFrame]:
+    """run over the rows of both at once, and the outcome parted again as it was; run must keep the column _test."""
+    both = run(train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True))))
+    return both.where("not _test").drop("_test"), both.where("_test").drop("_test")
+
+
+def shuffled(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """rows with place from 1, in an order that depends on the key columns and the seed alone."""
+    h = F.xxhash64(*key, F.lit(seed))
+    return numbered(rows, [h, *map(F.asc, key)], "place")
+
+
 def xml_text_extract(lines: DataFrame) -> DataFrame:
     """line_no, text of lines that hold 'Unicode': without the tag and white space before it and the closing tag."""
     opened = F.regexp_replace("raw", r"^[ \t]*<Unicode>", "")
     return lines.where(F.col("raw").contains("Unicode")).select("line_no", F.regexp_replace(opened, r"</Unicode>[ \t]*$", "").alias("text"))
 
 
-def records_match_score(pairs: DataFrame, lines: DataFrame, labels: DataFrame, compat: bool = False) -> DataFrame:
+def records_match_score(pairs: DataFrame, lines: DataFrame, labels: DataFrame, compat: bool = False, text=lambda c: c) -> DataFrame:
     """card, db_id, n_matched: how many lines of the card (4 characters or more) lie within an infix error rate of 0.3 of
     some value of the record (4 characters or more). Pairs without such values have no row.
 
     The lines of a card and the values of a record are gathered once each, and the pairs, not the lines, are joined.
     """
-    ls = lines.where("length(line) >= 4").groupBy("card").agg(F.collect_list("line").alias("lines"))
-    vs = labels.where("length(text) >= 4").groupBy("db_id").agg(F.collect_set("text").alias("vals"))
+    ls = lines.where("length(line) >= 4").groupBy("card").agg(F.collect_list(text(F.col("line"))).alias("lines"))
+    vs = labels.where("length(text) >= 4").groupBy("db_id").agg(F.collect_set(text(F.col("text"))).alias("vals"))
     both = pairs.select("card", "db_id").distinct().join(ls, "card").join(vs, "db_id")
 
+    def pairs_of(s: str) -> list[str]:
+        return [s[i : i + 2] for i in range(len(s) - 1)]
+
+    def near(a: tuple[str, list[str], set[str]], b: tuple[str, list[str], set[str]]) -> bool:
+        short, long = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+        size = len(short[0])
+        # an error takes two pairs of letters at most, so without so many in common there is no need to measure
+        if sum(p in long[2] for p in short[1]) < size - 1 - 2 * (math.ceil(0.3 * size) - 1):
+            return False
+        return infix_distance(a[0], b[0], compat) < 0.3 * size
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             n = []
             for lines_, vals in zip(f["lines"], f["vals"]):
-                n.append(sum(any(infix_distance(line, v, compat) < 0.3 * min(len(line), len(v)) for v in vals) for line in lines_))
+                known = [(v, p := pairs_of(v), set(p)) for v in vals]
+                n.append(sum(any(near((line, p, s), v) for v in known) for line in lines_ for p in [pairs_of(line)] for s in [set(p)]))
             yield pd.DataFrame({"card": f["card"], "db_id": f["db_id"], "n_matched": pd.array(n, dtype="int32")})
 
     return both.mapInPandas(run, "card string, db_id string, n_matched int")
@@ -133,19 +171,44 @@ def build_index(docs: DataFrame, key: str, text: Column) -> tuple[DataFrame, Dat
     return terms.groupBy("term", key).agg(F.count("*").alias("tf")), terms.groupBy(key).agg(F.count("*").alias("len"))
 
 
-def index_search(queries: DataFrame, docs: DataFrame, query_key: str, query_text: Column, doc_key: str, doc_text: Column, k: int = 5, max_share: float = 0.05) -> DataFrame:
-    """The k best documents of each query by BM25: query key, document key, score, rank.
+def index_search(queries: DataFrame, docs: DataFrame, query_key: str, query_text: Column, doc_key: str, doc_text: Column, k: int = 5, rare_share: float = 0.01) -> DataFrame:
+    """The k best documents of each query by BM25 over all terms: query key, document key, score, rank; ties go to the smaller key.
 
-    Terms in more than max_share of the documents say nothing and are left out, so the postings that are joined stay
-    short; ties go to the smaller key.
+    Terms in more than rare_share of the documents have long postings and give little. Documents that share a rarer term
+    with a query are scored first, by all terms. Where the k-th of them has more than all frequent terms of the query could
+    give together, no other document can be among the best; only the queries left are held against the long postings.
     """
     postings, lengths = build_index(docs, doc_key, doc_text)
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).where(F.col("df") <= F.greatest(F.lit(1.0), F.col("n_docs") * max_share))
+    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = postings.join(df, "term").join(lengths, doc_key)
     weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    terms = queries.select(query_key, F.explode(F.array_distinct(words_of(query_text))).alias("term"))
-    hits = terms.join(scored.select("term", doc_key, weight.alias("w")), "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(doc_key)))
-    return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    frequent = F.col("df") > F.greatest(F.lit(1.0), F.col("n_docs") * rare_share)
+    index = materialize(postings.join(df, "term").join(lengths, doc_key).select("term", doc_key, weight.alias("w"), frequent.alias("frequent")))
+    terms = materialize(queries.select(query_key, F.explode(F.array_distinct(words_of(query_text))).alias("term")))
+    rare, common = index.where("not frequent").drop("frequent"), index.where("frequent").drop("frequent")
+
+    def best(hits: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(doc_key)))
+        summed = hits.groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
+        return summed.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+
+    first = materialize(terms.join(rare, "term").select(query_key, doc_key, "w"))
+    more = first.select(query_key, doc_key).distinct().join(common, doc_key).join(terms, [query_key, "term"]).select(query_key, doc_key, "w")
+    found = materialize(best(first.unionByName(more)))
+    most = common.groupBy("term").agg(F.max("w").alias("most"))
+    bound = terms.join(most, "term").groupBy(query_key).agg(F.sum("most").alias("bound"))
+    kth = found.where(F.col("rank") == k).select(query_key, F.col("score").alias("kth"))
+    every = terms.select(query_key).distinct().join(bound, query_key, "left").join(kth, query_key, "left")
+    hard = materialize(every.where("bound is not null and (kth is null or kth <= bound + 0.00001)").select(query_key))
+    rest = best(terms.join(hard, query_key, "left_semi").join(index.drop("frequent"), "term").select(query_key, doc_key, "w"))
+    return found.join(hard, query_key, "left_anti").unionByName(rest)
+
+
+def matched_cards(cards: DataFrame, lines: DataFrame, records: DataFrame, labels: DataFrame, k: int = 5, least: int = 1) -> DataFrame:
+    """card, db_id, n_matched: of the k records that the index gives for a card those of whose values at least `least` of its lines hold one.
+
+    cards: card, transcription; lines: as `card_lines` gives them; records: db_id, text; labels: db_id, text.
+    """
+    near = index_search(cards, records, "card", F.col("transcription"), "db_id", F.col("text"), k)
+    return records_match_score(near, lines, labels).where(F.col("n_matched") >= least)

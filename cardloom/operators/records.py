@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.linkage import numbered
+
 #: White space as Python's str.split() sees it.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _ALL = 1 << 30
@@ -199,6 +201,13 @@ def render_fixed(lines: DataFrame) -> DataFrame:
     return kept.select("line_no", "db_id", F.concat(F.rpad("db_id", 16, " "), F.rpad("tag", 8, " "), "content").alias("raw"))
 
 
+def render_clean(lines: DataFrame) -> DataFrame:
+    """Lines in the narrower layout: the id at 1, the tag at 11, the body at 19; each also as a line of no record, after a '#'."""
+    kept = dump_lines(lines)
+    own = kept.select("line_no", "db_id", F.concat(F.rpad("db_id", 10, " "), F.rpad("tag", 8, " "), "content").alias("raw"))
+    return own.unionByName(own.withColumn("raw", F.concat(F.lit("#"), "raw")))
+
+
 def merge_boundaries(labels: DataFrame) -> DataFrame:
     """db_id, label, boundary: where the label ends in the record's merged text, its trimmed texts joined by spaces."""
     w = Window.partitionBy("db_id").orderBy("label_ord").rowsBetween(Window.unboundedPreceding, 0)
@@ -207,7 +216,9 @@ def merge_boundaries(labels: DataFrame) -> DataFrame:
 
 
 def grouped_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """db_id, n_lines, first_line, body: all lines of the wanted ids in order (a semi join; a record is one group)."""
+    """db_id, ord (from 1), line_no, line: the lines of the wanted ids in order (a semi join). They are numbered over all ids at
+    once, so the lines of an id that many have are not one task's."""
     kept = dump_lines(lines).join(ids.select("db_id").distinct(), "db_id", "left_semi")
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", F.concat_ws(" ", "tag", "content").alias("t"))))
-    return kept.groupBy("db_id").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("body"))
+    rows = numbered(kept.select("db_id", "line_no", F.concat_ws(" ", "tag", "content").alias("line")), [F.asc("db_id"), F.asc("line_no"), F.asc("line")], "_n")
+    first = rows.groupBy("db_id").agg(F.min("_n").alias("_first"))
+    return rows.join(first, "db_id").select("db_id", (F.col("_n") - F.col("_first") + 1).alias("ord"), "line_no", "line")

@@ -42,25 +42,48 @@ def token_offsets(cards: DataFrame) -> DataFrame:
 def offsets_to_io(cards: DataFrame, spans: DataFrame) -> DataFrame:
     """card, seg, tok_ord, token, label: the text cut at the spans, the words of a span with its label, others 'O'.
 
-    Spans are taken in order of start; one that begins before the last has ended is left out. The text is cut before line breaks are
-    marked, so labels don't drift. A card without spans is one segment of 'O'.
+    Segments are, in order of start, what stands before a span and the span, and at last what stands after the last one. The
+    words of spans that overlap come out with each of them. The text is cut before line breaks are marked, so labels don't
+    drift. A card without spans is one segment of 'O'.
     """
     texts = cards.select("card", "transcription").where("card is not null and transcription is not null").distinct()
     ordered = F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "label")))
     per = spans.where("end_pos > start_pos").groupBy("card").agg(ordered.alias("s"))
     both = texts.join(per, "card", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start_pos:int,end_pos:int,label:string>>")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,label:string>>").alias("seg"))
+    end_before = lambda i: F.coalesce(F.get("s", i - 1)["end_pos"], F.lit(0))
+    seg = lambda a, b, label: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), label.alias("label"))
+    pairs = F.flatten(F.transform("s", lambda x, i: F.array(seg(end_before(i), x["start_pos"], F.lit("O")), seg(x["start_pos"], x["end_pos"], x["label"]))))
+    rest = F.array(seg(end_before(F.size("s")), F.length("transcription"), F.lit("O")))
+    segs = both.select("card", "transcription", F.posexplode(F.concat(pairs, rest)).alias("seg", "x"))
+    cut = F.expr("substring(transcription, x.a + 1, greatest(x.b - x.a, 0))")
+    return segs.select("card", "seg", F.col("x.label").alias("label"), F.posexplode(lf_tokens(cut)).alias("tok_ord", "token"))
+
+
+def found_offsets(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """card, tok_ord, token, start_pos, end_pos of given tokens, each searched for from the end of the one found before.
+
+    texts: card, transcription; tokens: card, tok_ord, token. A token that isn't found has null positions and the search goes
+    on where it was; marks of line breaks are not searched for. The unit of work is one card.
+    """
+    per = tokens.where(F.col("token") != LINE_BREAK).groupBy("card").agg(F.sort_array(F.collect_list(F.struct("tok_ord", "token"))).alias("t"))
+    both = texts.select("card", "transcription").where("transcription is not null").distinct().join(per, "card")
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<tok_ord:int,token:string,start_pos:int,end_pos:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.struct(acc["at"].alias("a"), x["start_pos"].alias("b"), F.lit("O").alias("label"))
-        own = F.struct(x["start_pos"].alias("a"), x["end_pos"].alias("b"), x["label"].alias("label"))
-        return F.when(x["start_pos"] < acc["at"], acc).otherwise(F.struct(x["end_pos"].alias("at"), F.concat(acc["seg"], F.array(gap, own)).alias("seg")))
-
-    folded = both.withColumn("f", F.aggregate("s", start, step))
-    rest = F.struct(F.col("f.at").alias("a"), F.length("transcription").alias("b"), F.lit("O").alias("label"))
-    segs = folded.select("card", "transcription", F.posexplode(F.concat(F.col("f.seg"), F.array(rest))).alias("seg", "x"))
-    cut = F.expr("substring(transcription, x.a + 1, x.b - x.a)")
-    return segs.select("card", "seg", F.col("x.label").alias("label"), F.posexplode(lf_tokens(cut)).alias("tok_ord", "token"))
+        at = F.call_function("locate", x["token"], F.col("transcription"), acc["at"])
+        hit, n = at > 0, F.length(x["token"])
+        row = F.struct(x["tok_ord"].cast("int").alias("tok_ord"), x["token"].alias("token"), F.when(hit, at - 1).alias("start_pos"), F.when(hit, at - 1 + n).alias("end_pos"))
+        return F.struct(F.when(hit, at + n).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return both.select("card", F.explode(F.aggregate("t", begin, step)["out"]).alias("x")).select("card", "x.*")
+
+
+def with_label_ids(rows: DataFrame, ids: DataFrame, label: str = "label", into: str = "label_id", line_break: int | None = None, token: str = "token") -> DataFrame:
+    """rows with the id of their label; a label of no id has null. line_break: what a line break gets in its place, as -100 to leave
+    it out of a loss. ids: label, id, a row a label."""
+    named = ids.select(F.col("label").alias("_l"), F.col("id").alias(into))
+    joined = rows.join(F.broadcast(named), F.col(label) == F.col("_l"), "left").drop("_l")
+    return joined if line_break is None else joined.withColumn(into, F.when(F.col(token) == LINE_BREAK, line_break).otherwise(F.col(into)))
 
 
 def label_islands(rows: DataFrame, key: str, order: list[str], label: str, value: str) -> DataFrame:

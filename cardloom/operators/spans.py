@@ -131,6 +131,38 @@ def dataset_lines(spans: DataFrame) -> DataFrame:
     return spans.groupBy("card").agg(F.concat_ws("\t", F.first("card"), F.array_join(parts, "\t")).alias("line"))
 
 
+#: The sign of each label in a mask of characters; '0' is none.
+MASK_SIGNS = {
+    "Author": "1", "Title": "2", "Original title": "3", "Publisher": "4", "Pages": "5", "Series": "6", "Edition": "7", "References": "8",
+    "ID": "9", "ISBN": "a", "ISSN": "b", "Topic": "c", "Subtitle": "d", "Date": "e", "Institute": "f", "Volume": "g",
+}
+
+
+def mask_signs(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """card, mask: a sign for every character of the card's text, as `char_mask` labels it; '0' where it has none."""
+    signs = F.create_map(*[F.lit(x) for k, v in MASK_SIGNS.items() for x in (k.replace(" ", "_"), v)])
+    marks = char_mask(spans).groupBy("card").agg(F.map_from_entries(F.collect_list(F.struct("pos", signs[F.col("label")].alias("sign")))).alias("m"))
+    sized = texts.select("card", F.length("transcription").alias("n")).where("n > 0").distinct().join(marks, "card", "left")
+    every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("0")))
+    return sized.select("card", F.array_join(every, "").alias("mask"))
+
+
+def unmasked(masks: DataFrame) -> DataFrame:
+    """card, start_pos, end_pos, label of the runs of equal signs of a mask, 'O' for those without a label."""
+    names = F.create_map(F.lit("0"), F.lit("O"), *[F.lit(x) for k, v in MASK_SIGNS.items() for x in (v, k.replace(" ", "_"))])
+    chars = masks.select("card", F.posexplode(F.split("mask", "")).alias("pos", "sign")).where("sign != ''")
+    w = Window.partitionBy("card").orderBy("pos")
+    fresh = F.when(F.lag("sign").over(w) == F.col("sign"), 0).otherwise(1)
+    island = F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    by = chars.withColumn("_f", fresh).withColumn("_i", island).groupBy("card", "_i", "sign").agg(F.min("pos").alias("start_pos"), (F.max("pos") + 1).alias("end_pos"))
+    return by.select("card", "start_pos", "end_pos", names[F.col("sign")].alias("label"))
+
+
+def label_whitelist(spans: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """Only the spans with one of the labels."""
+    return spans.where(F.col("label").isin(*labels))
+
+
 def training_filter(spans: DataFrame, least: int = 4, labels: tuple[str, ...] = ("Author", "ID", "Title")) -> DataFrame:
     """card, n_spans of the cards with at least `least` spans that have all of the labels."""
     per = spans.groupBy("card").agg(F.count("*").alias("n_spans"), F.count_distinct(F.when(F.col("label").isin(*labels), F.col("label"))).alias("_n"))

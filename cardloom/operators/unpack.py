@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.runtime import materialize
+
 #: Candidate marks before the subfields of a line.
 MARKS = ("$$", "$", "|", "‡", "\x1f", "^", "#", "@", "¦", "§")
 #: Candidate delimiters between the values of a list field, as patterns.
@@ -31,6 +34,7 @@ BETWEEN = {
 }
 _QUOTED = re.compile(r'(?<![^\s;|,+/])"((?:[^"]|"")*)"(?![^\s;|,+/])')
 _ATOM = "\ue000"
+_DIGITS, _LARGE, _SMALL = (regex.compile(p) for p in (r"[0-9]+", r"\p{Lu}+", r"\p{Ll}+"))
 
 
 def shape(text: Column) -> Column:
@@ -41,8 +45,7 @@ def shape(text: Column) -> Column:
 
 
 def _shape(text: str) -> str:
-    t = re.sub(r"\d+", "9", text)
-    return re.sub(r"[a-zà-öø-ÿěščřžůňťď]+", "a", re.sub(r"[A-ZÀ-ÖØ-ÞĚŠČŘŽŮŇŤĎ]+", "A", t))
+    return _SMALL.sub("a", _LARGE.sub("A", _DIGITS.sub("9", text)))
 
 
 def strip(text: Column) -> Column:
@@ -63,7 +66,7 @@ def unpack_marked(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     The mark may change from row to row. A null, blank or unmarked field gives no row; an empty value has no position.
     Rows that agree in keys and field count once. pos counts the non-empty values from 0.
     """
-    rows = df.select(*keys, F.col(column).alias("_f")).where(F.trim("_f") != "").distinct()
+    rows = materialize(df.select(*keys, F.col(column).alias("_f")).where(F.trim("_f") != "").distinct())
 
     def cut(body: Column) -> Column:
         leading = F.filter(F.array(*map(F.lit, MARKS)), lambda m: F.startswith(body, m))
@@ -73,10 +76,10 @@ def unpack_marked(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     tried = rows.select(*keys, _let(strip(unquote(strip(F.col("_f")))), cut).alias("_c"))
     # types of pieces and their usual number, over all rows; both tables are bounded by their least share
     code = lambda p: F.regexp_extract(p, r"^([\p{Alnum}])", 1)
-    cuts = tried.select(F.explode("_c").alias("c"))
-    codes = _usual(cuts.select(F.explode(F.slice("c.p", 2, 1 << 20)).alias("p")), code(F.col("p")))
-    counts = _usual(cuts, F.size("c.p").cast("string"))
-    regular = [c for c, s in codes.items() if c and s >= 0.001]
+    kinds = lambda c: F.concat(F.transform(F.slice(c["p"], 2, 1 << 20), lambda p: _kind("code", code(p))), F.array(_kind("count", F.size(c["p"]).cast("string"))))
+    found = _usual(tried, F.flatten(F.transform("_c", kinds)), {"code": 0.001, "count": 0.0005})
+    codes, counts = found["code"], found["count"]
+    regular = [c for c in codes if c]
     usual = F.create_map(*[F.lit(x) for n, s in counts.items() for x in (n, float(s))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
 
     def score(c: Column) -> Column:
@@ -96,19 +99,29 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _usual(df: DataFrame, kind: Column, least: float = 0.0005) -> dict[str, float]:
-    """Kinds with at least the least share of all rows, so 1 / least of them at most, with their share."""
-    counts = df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(total)).where(F.col("n") >= F.col("total") * least)  # total: one row
-    return {r["kind"]: r["n"] / r["total"] for r in kept.where("kind is not null").select("kind", "n", "total").collect()}
+def _kind(what: str, kind: Column) -> Column:
+    return F.struct(F.lit(what).alias("what"), kind.alias("kind"))
+
+
+def _usual(df: DataFrame, kinds: Column, least: dict[str, float]) -> dict[str, dict[str, float]]:
+    """By what, the kinds with at least the least share of all of that, so 1 / least of them at most, with their share; one pass
+    over the rows. kinds: array of (what, kind)."""
+    counts = df.select(F.explode(kinds).alias("x")).groupBy("x.what", "x.kind").agg(F.count("*").alias("n"))
+    total = counts.groupBy("what").agg(F.sum("n").alias("total"))  # a row for each what
+    floor = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
+    kept = counts.join(F.broadcast(total), "what").where((F.col("n") >= F.col("total") * floor[F.col("what")]) & F.col("kind").isNotNull())
+    out: dict[str, dict[str, float]] = {what: {} for what in least}
+    for r in kept.collect():
+        out[r["what"]][r["kind"]] = r["n"] / r["total"]
+    return out
 
 
 def _cover(words: list[str], regular: frozenset[str]) -> list[str] | None:
     """The words as the fewest pieces of regular type, if they can be cut so."""
+    most = max((k.count(" ") for k in regular), default=0) + 1  # as many words as a regular type has
     best: list[list[str] | None] = [[]] + [None] * len(words)
     for j in range(1, len(words) + 1):
-        for i in range(max(0, j - 4), j):
+        for i in range(max(0, j - most), j):
             piece = " ".join(words[i:j])
             if best[i] is not None and ((len(piece) == 1 and piece >= _ATOM) or _shape(piece) in regular):
                 if best[j] is None or len(best[i]) + 1 < len(best[j]):
@@ -129,9 +142,9 @@ def split_list(field: str, regular: frozenset[str], usual: dict[int, float] | No
     def is_regular(p: str) -> bool:
         return (len(p) == 1 and p >= _ATOM) or _shape(p) in regular
 
-    def cut(part: str, depth: int = 0) -> list[str]:
+    def cut(part: str) -> list[str]:  # what is cut at one delimiter holds none of it, so this ends
         part = re.sub(r"^(?:[\s;|,+]|/(?=\s))+|(?:[\s;|,+]|(?<=\s)/)+$", "", part)
-        if is_regular(part) or depth > 6:
+        if is_regular(part):
             return [part]
         best, found = (-1.0,), [part]
         for name, pattern in BETWEEN.items():
@@ -146,7 +159,7 @@ def split_list(field: str, regular: frozenset[str], usual: dict[int, float] | No
                 best, found = score, pieces
         if best[0] <= 0:
             return [part]
-        return [x for p in found for x in cut(p.strip(), depth + 1)]
+        return [x for p in found for x in cut(p.strip())]
 
     values = [p.strip() for p in cut(text) if p.strip()]
     return [v for v in (atoms[ord(p) - ord(_ATOM)] if len(p) == 1 and p >= _ATOM and ord(p) - ord(_ATOM) < len(atoms) else p for p in values) if v]
@@ -158,15 +171,17 @@ def unpack_list(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     The delimiter may change from row to row and within a row; a quoted stretch is one value. A null or blank field
     gives no row. Rows that agree in keys and field count once. pos counts the non-empty values from 0.
     """
-    rows = df.select(*keys, F.col(column).alias("_f")).where(F.trim("_f") != "").distinct()
+    rows = materialize(df.select(*keys, F.col(column).alias("_f")).where(F.trim("_f") != "").distinct())
     one = strip(F.col("_f"))
-    kinds = _usual(rows.where(~F.col("_f").contains('"')), shape(one), 0.002)
+    # how many values a field usually has, by the single most telling sign: how often each delimiter stands in it
+    signs = reduce(lambda a, b: F.greatest(a, b), [F.size(F.split(one, p)) for p in (r"\t", ";", r"\|", ",", r" \+", r" /")])
+    types_of = F.when(~F.contains(F.col("_f"), F.lit('"')), F.array(_kind("type", shape(one)))).otherwise(F.array().cast("array<struct<what:string,kind:string>>"))
+    found = _usual(rows, F.concat(types_of, F.array(_kind("count", signs.cast("string")))), {"type": 0.002, "count": 0.001})
+    kinds = found["type"]
     # a type that another candidate cuts into types just as usual is no type of a single value
     known = {k for k in kinds if k}
     regular = frozenset(k for k in known if not any(len(q := [p for p in re.split(b, k) if p.strip()]) > 1 and all(p in known for p in q) or (len(q) == 1 and q[0] != k) for b in BETWEEN.values()))
-    # how many values a field usually has, by the single most telling sign: how often each delimiter stands in it
-    signs = reduce(lambda a, b: F.greatest(a, b), [F.size(F.split(one, p)) for p in (r"\t", ";", r"\|", ",", r" \+", r" /")])
-    usual = {int(n): s for n, s in _usual(rows, signs.cast("string"), 0.001).items()}
+    usual = {int(n): s for n, s in found["count"].items()}
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 from cardloom.operators.records import ACCEPTED, AUTHOR_TAGS, ORIGINAL_TAGS, PLAIN_TAGS, SERIES_TAGS, TITLE_TAGS
+from cardloom.operators.spans import MASK_SIGNS
 from cardloom.plans.core_queries import LABEL_COLUMNS
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -93,7 +94,10 @@ placed as (
         coalesce(sum(length(raw) + 1) over (partition by card order by line_no rows between unbounded preceding and 1 preceding), 0) + length(raw) - length(ltrim(raw)) as line_start
     from rawl
 ),
-card_lines as (select card, line_no, line, line_start from placed where length(raw) >= 2 and line <> '')"""
+card_lines as (
+    select card, line_no, line, line_start from placed
+    where line <> '' and length(raw) >= case when line_no = (select max(p.line_no) from placed p where p.card = placed.card) then 3 else 2 end
+)"""
 SPANS = """spans as (
     select distinct card, replace(label, ' ', '_') as label, least(start_pos, end_pos) as start_pos, greatest(start_pos, end_pos) as end_pos
     from card_span where card is not null and label is not null and start_pos is not null and end_pos is not null
@@ -152,6 +156,76 @@ def _confidence(expr: str) -> str:
     return f"with {ISLANDS} select user_id, island, min(event_type) as label, round({expr}, 9) as confidence from runs group by user_id, island"
 
 
+#: Nearest substring of a card's text for every field: all substrings as long as the field, give or take twelve characters.
+_NEAREST = f"""{MAP}, {FIELDS}, {TEXTS},
+asked as (select card, label, {_fold('text')} as ref, {_fold('transcription')} as t from map join texts using (card) join fields using (db_id)),
+bounded as (select *, least(cast(floor(length(ref) * 0.6) as integer), 12) as most from asked),
+ends as (select *, unnest(range(1, length(t) + 1)) as e from bounded),
+cuts as (select *, unnest(range(greatest(length(ref) - most, 0), length(ref) + most + 1)) as n from ends),
+measured as (select card, label, most, e - n as s, e, levenshtein(substring(t, e - n + 1, n), ref) as dist from cuts where n <= e),
+nearest as (select card, label, dist, s, e from measured where dist <= most qualify row_number() over (partition by card, label order by dist, e, s desc) = 1)"""
+
+
+def _inner(source: str) -> str:
+    """Spans of `source` (card, label, start_pos, end_pos) with the inner of nested ones left out and partial overlaps parted in the middle."""
+    return f"""
+    select card, list_reduce(list([{{'l': label, 's': start_pos, 'e': end_pos}}] order by start_pos, end_pos, label), lambda acc, x: case
+        when len(list_filter(acc, lambda p: p.s <= x[1].s and x[1].e <= p.e)) > 0 then acc
+        when x[1].s < acc[-1].e then list_concat(list_concat(acc[:-2],
+            [{{'l': acc[-1].l, 's': acc[-1].s, 'e': cast((x[1].s + acc[-1].e) // 2 as integer)}}]), [{{'l': x[1].l, 's': cast((x[1].s + acc[-1].e) // 2 + 1 as integer), 'e': x[1].e}}])
+        else list_concat(acc, x) end) as a
+    from {source} group by card"""
+
+
+def _outer(source: str) -> str:
+    """Spans of `source` with the outer of nested ones left out and partial overlaps parted at a space of the card's text: all pairs
+    in order, one after the other, each changing the list of spans (k counts from 1, ok: still there)."""
+
+    def refine(a: str, b: str) -> str:
+        inside, before, after = f"list_filter(sp, lambda z: z >= {a} and z <= {b})", f"list_max(list_filter(sp, lambda z: z < {a}))", f"list_min(list_filter(sp, lambda z: z > {b}))"
+        return f"""case when len({inside}) > 0 then {inside}[len({inside}) // 2 + 1] when {before} is null and {after} is null then ({a} + {b}) // 2
+            when {before} is null or {after} - {b} <= {a} - {before} then {after} else {before} end"""
+
+    a, b = "acc[x[1].s]", "acc[x[1].e]"
+    one = lambda s, e, ok: f"{{'l': p.l, 's': cast({s} as integer), 'e': cast({e} as integer), 'ok': {ok}, 'k': p.k}}"
+    left = refine(f"{b}.s", f"{a}.e")
+    right = refine(f"{a}.s", f"{b}.e")
+    return f"""
+    select card, list_reduce(list_concat([own], pairs), lambda acc, x: case
+        when not {a}.ok or not {b}.ok or {a}.l = {b}.l or not ({a}.s < {b}.e and {b}.s < {a}.e) then acc
+        when {a}.s < {b}.s and {b}.e < {a}.e then list_transform(acc, lambda p: {one('p.s', 'p.e', 'p.ok and p.k <> x[1].s')})
+        when {b}.s < {a}.s and {a}.e < {b}.e then list_transform(acc, lambda p: {one('p.s', 'p.e', 'p.ok and p.k <> x[1].e')})
+        when {a}.s < {b}.s and {b}.s < {a}.e then list_transform(acc, lambda p: {one(f'case when p.k = x[1].e then {left} else p.s end', f'case when p.k = x[1].s then {left} else p.e end', 'p.ok')})
+        when {b}.s < {a}.s and {a}.s < {b}.e then list_transform(acc, lambda p: {one(f'case when p.k = x[1].s then {right} else p.s end', f'case when p.k = x[1].e then {right} else p.e end', 'p.ok')})
+        else acc end) as a
+    from (
+        select card, sp, list({{'l': label, 's': start_pos, 'e': end_pos, 'ok': true, 'k': k}} order by k) as own,
+            flatten(list_transform(range(1, cast(count(*) + 1 as bigint)), lambda i: list_transform(range(1, cast(count(*) + 1 as bigint)),
+                lambda j: [{{'l': '', 's': cast(i as integer), 'e': cast(j as integer), 'ok': false, 'k': cast(0 as bigint)}}]))) as pairs
+        from (select s.*, row_number() over (partition by card order by start_pos, end_pos, label) as k, coalesce(sp, []) as sp from {source} s left join spaces using (card))
+        group by card, sp
+    )"""
+
+
+def _spans_of(name: str) -> str:
+    return f"select card, x.l as label, x.s as start_pos, x.e as end_pos from (select card, unnest(a) as x from {name}) where x.e > x.s"
+
+
+IO = """per as (
+    select t.card, transcription as t, coalesce(list({'a': start_pos, 'b': end_pos, 'l': label} order by start_pos, end_pos, label) filter (where end_pos > start_pos), []) as s
+    from texts t left join chosen using (card) group by t.card, transcription
+),
+cuts as (
+    select card, t, unnest(list_concat(flatten(list_transform(s, lambda x, i: [
+        {'a': coalesce(s[i - 1].b, 0), 'b': x.a, 'l': 'O'}, {'a': x.a, 'b': x.b, 'l': x.l}])), [{'a': coalesce(s[-1].b, 0), 'b': length(t), 'l': 'O'}])) as c,
+        unnest(range(2 * len(s) + 1)) as seg from per
+),
+io as (
+    select card, cast(seg as integer) as seg, label, unnest(w) as token, cast(generate_subscripts(w, 1) - 1 as integer) as tok_ord
+    from (select card, seg, c.l as label, list_filter(string_split_regex(replace(substring(t, c.a + 1, greatest(c.b - c.a, 0)), chr(10), ' [LF] '), '%s+'), lambda x: x <> '') as w from cuts)
+)""" % WS
+
+
 def oracle_sql() -> dict[str, str]:
     share = lambda a, b: f"coalesce({a} / nullif(cast({b} as double), 0), 0.0)"
     return {
@@ -211,12 +285,12 @@ r as (
 )
 select db_id, line_no, cast(i as integer) as i, label, text from r where text is not null""",
         "fixed_width_project": f"with {FIXED} select line_no, substring(raw, 17, 3) || ' ' || substring(raw, 25) as clean from fixed",
-        "clean_record": f"with {FIXED} select line_no, substring(raw, 11, 3) || ' ' || substring(raw, 19) as clean from fixed where starts_with(raw, db_id)",
+        "clean_record": f"with {LINES} select line_no, rpad(tag, 3, ' ') || ' ' || content as clean from lines",
         "merge_boundaries": f"""with {LABELS}
 select db_id, label, cast(sum(length(trim(text)) + 1) over (partition by db_id order by label_ord) - 1 as integer) as boundary from labelled""",
         "semi_join_ids": f"""with {LINES}, {MAP}
-select db_id, count(*) as n_lines, min(line_no) as first_line, string_agg(concat_ws(' ', tag, content), chr(10) order by line_no, concat_ws(' ', tag, content)) as body
-from lines where db_id in (select db_id from map) group by db_id""",
+select db_id, row_number() over (partition by db_id order by line_no, concat_ws(' ', tag, content)) as ord, line_no, concat_ws(' ', tag, content) as line
+from lines where db_id in (select db_id from map)""",
         "mapping": f"with {MAP} select card, db_id, score from map",
         "card_lines": f"with {CARD_LINES} select card, cast(line_no as integer) as line_no, line, cast(line_start as integer) as line_start from card_lines",
         "card_record_join": f"""with {MAP}, {TEXTS}, {FIELDS}
@@ -233,9 +307,9 @@ select 'old-' || card_file as card_file, db_id from card_mapping union all
 select 'new-' || card_file, db_id from (select distinct card_file, db_id from card_mapping)""",
         "ranked_matches": f"""with {MAP}
 select card, db_id, score, cast(row_number() over (order by score desc, card || ' ' || db_id || ' ' || score desc, card desc, db_id desc) as integer) as rank from map""",
-        "task_numbering": f"with {TEXTS} select cast(row_number() over (order by card) as integer) as id, card from texts",
+        "task_numbering": f"""with {TEXTS} select cast(row_number() over (order by card) as integer) as id, card, '{{"id":' || row_number() over (order by card) || ',"data":{{"text":' || to_json(card) || ',"body":' || to_json(transcription) || '}}}}' as task from texts""",
         "xml_text_extract": f"""with {TEXTS}
-select card || '#' || (generate_subscripts(l, 1) - 1) as line_no, unnest(l) as text from (select card, string_split(transcription, chr(10)) as l from texts)""",
+select card || '#' || (generate_subscripts(l, 1) - 1) || '#1' as line_no, unnest(l) as text from (select card, string_split(transcription, chr(10)) as l from texts)""",
         "index_search": f"""with {TEXTS},
 docs as (select distinct db_id, concat_ws(' ', title, author) as text from db_record),
 terms as (select db_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) as term from docs),
@@ -243,7 +317,7 @@ postings as (select term, db_id, count(*) as tf from terms group by term, db_id)
 lengths as (select db_id, count(*) as len from terms group by db_id),
 stats as (select count(*) as n_docs, avg(len) as avg_len from lengths),
 df as (select term, count(*) as df from postings group by term),
-good as (select term, df, n_docs, avg_len from df, stats where df <= greatest(1.0, n_docs * 0.05)),
+good as (select term, df, n_docs, avg_len from df, stats),
 asked as (select distinct card, unnest(list_filter(string_split_regex(lower(transcription), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) as term from texts),
 hits as (
     select card, db_id, round(sum(ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
@@ -257,7 +331,7 @@ own as (select distinct card, replace(label, ' ', '_') as label, span_text, star
 select o.card, o.label, o.start_pos, round(levenshtein({_fold('span_text')}, {_fold('text')}) / cast(length({_fold('text')}) as double), 6) as cer
 from own o join map using (card) join fields f on f.db_id = map.db_id and f.label = o.label where span_text is not null""",
         "infix_distance": f"""with {MAP}, {FIELDS},
-own as (select distinct card, split_part({_fold('span_text')}, ' ', 1) as word from card_span),
+own as (select distinct card, {_fold('span_text')} as word from card_span),
 two as (
     select distinct word, {_fold('text')} as title from own join map using (card) join fields using (db_id) where label = 'Title' and word <> ''
 ),
@@ -268,7 +342,7 @@ select word, title, cast(min(levenshtein(s, c)) as integer) as dist from cuts gr
         "line_label_assign": f"with {_ASSIGN} select card, cast(line_no as integer) as line_no, label, round(cer, 6) as cer from assigned",
         "best_permutation": f"""with {_ASSIGN},
 groups as (
-    select card, label, any_value(text) as ref, list(line order by line_no, line) as lines from assigned where round(cer, 6) < 0.8 group by card, label
+    select card, label, any_value(text) as ref, list(line order by line_no, line) as lines from assigned group by card, label
 ),
 perms(n, ord, perm) as (values {_permutations()}),
 tried as (
@@ -277,6 +351,86 @@ tried as (
 ),
 measured as (select card, label, ord, perm, levenshtein({_fold('joined')}, {_fold('ref')}) / cast(length({_fold('ref')}) as double) as cer from tried)
 select card, label, perm, round(cer, 6) as cer from measured where cer < 1 qualify row_number() over (partition by card, label order by measured.cer, ord) = 1""",
+        "records_match_score": f"""with {MAP}, {FIELDS}, {CARD_LINES},
+ls as (select card, line_no, {_fold('line')} as line from card_lines where length(line) >= 4),
+vs as (select distinct db_id, {_fold('text')} as v from fields where length(text) >= 4),
+two as (
+    select distinct line, v, case when length(line) <= length(v) then line else v end as s, case when length(line) <= length(v) then v else line end as l
+    from (select distinct card, db_id from map) join ls using (card) join vs using (db_id)
+),
+sizes as (select *, unnest(range(cast(floor(length(s) * 0.7) as integer), cast(ceil(length(s) * 1.3) as integer) + 1)) as n from two),
+cuts as (select line, v, s, substring(l, unnest(range(1, greatest(length(l) - n + 1, 1) + 1)), n) as c from sizes),
+near as (select line, v from cuts group by line, v, s having min(levenshtein(s, c)) < 0.3 * length(s)),
+hit as (select card, db_id, line_no, max(case when near.v is not null then 1 else 0 end) as ok from (select distinct card, db_id from map) join ls using (card) join vs using (db_id) left join near on near.line = ls.line and near.v = vs.v group by card, db_id, line_no)
+select card, db_id, cast(sum(ok) as integer) as n_matched from hit group by card, db_id""",
+        "best_fuzzy_match": f"with {_NEAREST} select card, label, cast(dist as integer) as dist, cast(s as integer) as start_pos, cast(e as integer) as end_pos from nearest",
+        "align_fuzzy": f"""with {_NEAREST},
+src as (select card, label, cast(s as integer) as start_pos, cast(e as integer) as end_pos from nearest where e > s), done as ({_inner('src')}) {_spans_of('done')}""",
+        "resolve_outer": f"""with {SPANS}, {TEXTS},
+spaces as (select card, list_filter(range(0, length(transcription)), lambda i: substring(transcription, i + 1, 1) = ' ') as sp from texts),
+done0 as ({_outer('moved')}), done as (select card, list_filter(a, lambda p: p.ok) as a from done0) {_spans_of('done')}""",
+        "resolve_inner": f"with {SPANS}, done as ({_inner('moved')}) {_spans_of('done')}",
+        "offsets_to_io": f"with {TEXTS}, {SPANS}, chosen as (select * from spans), {IO} select card, seg, tok_ord, token, label from io",
+        "label_id_join": f"""with {TEXTS}, {SPANS}, chosen as (select * from spans where label in ('Author', 'Title', 'ID')), {IO}
+select card, seg, tok_ord, token, case when token = '[LF]' then -100 else coalesce(list_position(['Author', 'Title', 'ID'], label), 0) end as label_id from io""",
+        "label_whitelist": f"with {SPANS} select * from spans where label in ('Author', 'Title', 'ID')",
+        "found_offsets": f"""with {TEXTS},
+x as (select card, regexp_extract_all(transcription, '{NOT_WS}+') as w, regexp_extract_all(transcription, '({WS}*){NOT_WS}+', 1) as g from texts),
+y as (select card, unnest(w) as token, unnest(g) as gap, generate_subscripts(w, 1) as i from x),
+z as (select *, sum(length(token) + length(gap)) over (partition by card order by i) as e, sum(length(gap) - length(replace(gap, chr(10), ''))) over (partition by card order by i) as breaks from y)
+select card, cast(i - 1 + breaks as integer) as tok_ord, token, cast(e - length(token) as integer) as start_pos, cast(e as integer) as end_pos from z where token <> '[LF]'""",
+        "mask_signs": f"""with {TEXTS}, {SPANS}, {_mask('m', 'spans')}, chars as (select card, unnest(range(length(transcription))) as pos from texts)
+select c.card, string_agg(coalesce(map_extract_value(map({[k.replace(' ', '_') for k in MASK_SIGNS]}, {list(MASK_SIGNS.values())}), m.label), '0'), '' order by c.pos) as mask
+from chars c left join m on m.card = c.card and m.pos = c.pos group by c.card""",
+        "unmasked": f"""with {TEXTS}, {SPANS}, {_mask('m', 'spans')},
+chars as (select card, unnest(range(length(transcription))) as pos from texts),
+lab as (
+    select c.card, c.pos, case when list_contains({[k.replace(' ', '_') for k in MASK_SIGNS]}, m.label) then m.label else 'O' end as label from chars c left join m on m.card = c.card and m.pos = c.pos
+),
+f as (select *, case when lag(label) over (partition by card order by pos) = label then 0 else 1 end as fresh from lab),
+g as (select *, sum(fresh) over (partition by card order by pos) as i from f)
+select card, cast(min(pos) as integer) as start_pos, cast(max(pos) + 1 as integer) as end_pos, label from g group by card, i, label""",
+        "union_dumps": f"with {LINES} select db_id, line_no, cast(abs(line_no) % 2 as integer) as part from lines",
+        "resplit": "select doc_id, cast(length(text) as integer) as n, case when doc_id % 5 = 0 then 'test' else 'train' end as part from documents",
+        "shuffled": "select count(*) as n, count(*) as n_places, cast(count(*) as integer) as last, cast(sum(doc_id) as bigint) as ids, true as is_mixed from documents",
+        "length_density": """with v as (select len(string_split(text, ' ')) as v from documents where text is not null),
+st as (select count(*) as n, stddev_samp(v) * pow(count(*), -0.2) as h from v), g as (select unnest(range(0, 801, 50)) as x)
+select cast(x as integer) as x, round(sum(exp(-pow((x - v) / h, 2) / 2) / (n * h * sqrt(2 * pi()))), 9) as density from g, v, st group by x""",
+        "predicted_spans": f"""with {TEXTS},
+x as (select card, regexp_extract_all(transcription, '{NOT_WS}+') as w, regexp_extract_all(transcription, '({WS}*){NOT_WS}+', 1) as g from texts),
+y as (select card, unnest(w) as token, unnest(g) as gap, generate_subscripts(w, 1) as i from x),
+z as (select *, sum(length(token) + length(gap)) over (partition by card order by i) - length(token) as s, case when length(token) < 4 then 'O' when length(token) > 7 then 'LONG' else 'MID' end as label,
+    case when length(token) < 4 then 1.0::double else (length(token) % 10) / 10.0::double end as conf from y),
+f as (select *, case when lag(label) over (partition by card order by i) = label then 0 else 1 end as fresh from z),
+r as (select *, cast(sum(fresh) over (partition by card order by i) as integer) as island from f)
+select card, island, label, count(*) as n, cast(min(s) as integer) as first, cast(max(s) as integer) as last, round(avg(conf), 6) as confidence
+from r where label <> 'O' group by card, island, label having avg(conf) >= 0.5""",
+        "read_mapping": """select card, arg_max(db_id, (card_file, score, db_id)) as db_id, arg_max(score, (card_file, score, db_id)) as score
+from (select split_part(replace(card_file, '-', '/'), '.', 1) as card, card_file, db_id, score from card_mapping) where card is not null group by card""",
+        "read_dump": f"with {RAW} select cast(row_number() over (order by line_no) as integer) as n, regexp_replace(raw, '[\\n\\r]', ' ', 'g') as raw from raw",
+        "read_clean_records": f"""with {LINES}, c as (select regexp_replace(rpad(tag, 3, ' ') || ' ' || content, '[\\n\\r]', ' ', 'g') as v from lines)
+select string_split_regex(trim(v), '\\s+')[1] as tag, regexp_replace(trim(v), '^[^\\s]+\\s+', '') as body, count(*) as n from c group by all""",
+        "read_cards": f"""with {TEXTS} select replace(card, '/', '-') as card, rtrim(replace(transcription, chr(13), ' '), ' ') as transcription from texts where card in (select card from card_span)""",
+        "read_spans": f"with {SPANS} select card, label, 'x' as span_text, start_pos, end_pos from spans",
+        "read_dataset": f"with {SPANS} select card, cast(row_number() over (partition by card order by start_pos, end_pos, label) - 1 as integer) as n, label, start_pos, end_pos from spans",
+        "read_annotations": f"with {SPANS} select replace(card, '/', '-') as card, label, start_pos, end_pos from spans",
+        "read_tasks": f"with {TEXTS} select cast(row_number() over (order by card) as integer) as id, card as text, transcription as body from texts",
+        "read_texts": f"""with {CARD_LINES}, l as (select trim(regexp_replace(line, '[\\r\\x0b\\x0c]', ' ', 'g')) as text from card_lines)
+select text, count(*) as n from l where length(text) > 10 group by text""",
+        "read_numbers": "select cast(length(text) as integer) as x, count(*) as n from documents where text is not null group by 1",
+        "read_store": f"with {TEXTS} select card, transcription from texts where card in (select split_part(replace(card_file, '-', '/'), '.', 1) from card_mapping)",
+        "read_record_files": f"with {LABELS} select db_id, label, text, label_ord from labelled",
+        "read_index": """with docs as (select distinct db_id, concat_ws(' ', title, author) as text from db_record),
+terms as (select db_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) as term from docs)
+select term, db_id, count(*) as tf, len from terms join (select db_id, count(*) as len from terms group by db_id) using (db_id) group by term, db_id, len""",
+        "html_rows": f"""with {LABELS},
+esc as (select db_id, label_ord, replace(replace(replace(concat_ws(' ', label, text), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as h from labelled)
+select db_id, cast(-1 as bigint) as ord, '<tr><td>' || string_agg(h, '<br>' order by label_ord) || '</td><td>' as html from esc group by db_id
+union all select db_id, line_no, replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '<br>' from lines where db_id in (select db_id from labelled)
+union all select distinct db_id, 9223372036854775807, '</td></tr>' from labelled""",
+        "error_report": f"""with {PAIRS},
+tot as (select card, coalesce(label, '') as label, case when sum(hull) > 0 then 1 - sum(inter) / sum(hull) else -1.0 end as e from best group by grouping sets ((card, label), (card)))
+select card, string_agg(case when label = '' then 'total' else label end || ': ' || printf('%.4f', e), chr(10) order by label) as report from tot group by card""",
         "interval_iou": f"with {PAIRS} select *, round(inter / hull, 6) as iou from pairs",
         "iou_match": f"with {PAIRS} select *, round(inter / hull, 6) as iou from best",
         "iou_totals": f"""with {PAIRS}
@@ -313,8 +467,8 @@ union all select 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f1),
 union all select 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from f having sum(support) > 0""",
         "masked_accuracy": f"""with {MASKS},
 per as (
-    select avg(case when length(truth) = coalesce(length(pred), -100) then 1.0::double else 0.0::double end) as share, count(*) as n
-    from masks where truth is not null group by split_part(card, '/', 1)
+    select avg(case when truth = coalesce(pred, '') then 1.0::double else 0.0::double end) as share, count(*) as n
+    from masks where list_contains({[k.replace(' ', '_') for k in MASK_SIGNS]}, truth) group by split_part(card, '/', 1)
 )
 select round(avg(share), 6) as accuracy, cast(sum(n) as bigint) as n from per""",
         "space_positions": """

@@ -9,14 +9,19 @@ from cardloom.operators.linkage import mapping
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """card, db_id, score of 'file id score' lines, ids with their leading zeros; of several rows a card the best holds."""
-    rows = spark.read.csv(path, sep=" ", schema="card_file string, db_id string, score int")
-    return mapping(rows)
+    """card, db_id, score of 'file id score' lines, ids with their leading zeros; of several rows a card the last one holds."""
+    parts = F.split("raw", " ")
+    rows = read_dump(spark, path).select(parts[0].alias("card_file"), F.get(parts, F.lit(1)).alias("db_id"), F.get(parts, F.lit(2)).try_cast("int").alias("score"), "line_no")
+    return mapping(rows.where("db_id is not null"), "line_no")
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, raw of a dump; the number orders lines within and across the files."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
+    """line_no (file, block, place), raw of a dump; the number orders lines by file name and, in a file, as they stand.
+
+    A file is read in blocks; their begin and the place of a line within its block give the order whatever task reads it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("raw"))
+    return lines.select(F.struct("f", "b", "i").alias("line_no"), "raw")
 
 
 def read_clean_records(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +34,9 @@ def read_clean_records(spark: SparkSession, path: str) -> DataFrame:
 def read_cards(spark: SparkSession, path: str, suffix: str = "*.txt") -> DataFrame:
     """card, transcription of every text file below a directory; the card is the path below it without extensions."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(path, wholetext=True)
-    below = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + path.rstrip("/").split("/")[-1] + "/", "")
+    root = path.rstrip("/").split(":", 1)[-1].rstrip("/") + "/"
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.substr(whole, F.locate(root, whole) + len(root))
     return files.select(F.substring_index(below, ".", 1).alias("card"), F.col("value").alias("transcription"))
 
 
@@ -52,9 +59,13 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    """file, label, span_text, start_pos, end_pos of tab-separated span files."""
-    rows = spark.read.csv(path, sep="\t", schema="label string, span_text string, start_pos int, end_pos int", quote="")
-    return rows.select(F.col("_metadata.file_name").alias("file"), "*")
+    """file, label, span_text, start_pos, end_pos of tab-separated span files, a card a file; where lines begin with the card, as
+    `write_spans` writes them, card stands in the place of file."""
+    p = F.split("value", "\t")
+    rows = spark.read.text(path).where("trim(value) != ''").select(F.col("_metadata.file_name").alias("file"), p.alias("p"), F.size(p).alias("n"))
+    n = F.col("n")
+    field = lambda k: F.get("p", n - 4 + k)
+    return rows.where("n >= 4").select(F.when(n >= 5, F.get("p", F.lit(0))).otherwise(F.col("file")).alias("file"), field(0).alias("label"), field(1).alias("span_text"), field(2).try_cast("int").alias("start_pos"), field(3).try_cast("int").alias("end_pos"))
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.operators.linkage import build_index
@@ -10,17 +10,29 @@ from cardloom.operators.spans import dataset_lines
 
 
 def write_records(labels: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The lines of every record in a directory of its own."""
-    labels.write.mode(mode).partitionBy("db_id").parquet(path)
+    """The labelled fields of all records in ranges of the id, a record's together and in order."""
+    labels.repartitionByRange("db_id").sortWithinPartitions("db_id", "label_ord").write.mode(mode).parquet(path)
+
+
+def write_clean_records(clean: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """'tag body' lines of clean records, in order of the line."""
+    clean.repartitionByRange("line_no").sortWithinPartitions("line_no").select(F.col("clean").alias("value")).write.mode(mode).text(path)
+
+
+def literal(text: Column) -> Column:
+    """A text as a literal: in single quotes, or in double ones if it holds a single and no double quote; backslash, line
+    feed, tab and carriage return escaped."""
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
 def write_spans(spans: DataFrame, path: str, mode: str = "overwrite", quoted: bool = False) -> None:
-    """label, text, start, end separated by tabs, a directory a card. quoted: the text as a literal, breaks escaped."""
-    text = F.col("text")
-    if quoted:
-        text = F.concat(F.lit("'"), F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("'"), F.lit("\\'")), F.lit("'"))
-    rows = spans.select("card", F.concat_ws("\t", "label", text, "start_pos", "end_pos").alias("value"))
-    rows.write.mode(mode).partitionBy("card").text(path)
+    """card, label, text, start, end separated by tabs, in ranges of the card, a card's together and in order. quoted: the text as a literal."""
+    text = literal(F.col("text")) if quoted else F.translate("text", "\t\n\r", "   ")
+    rows = spans.repartitionByRange("card").sortWithinPartitions("card", "start_pos", "end_pos", "label")
+    rows.select(F.concat_ws("\t", "card", "label", text, "start_pos", "end_pos").alias("value")).write.mode(mode).text(path)
 
 
 def write_dataset(spans: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -46,11 +58,14 @@ def write_index(docs: DataFrame, key: str, text: str, path: str, mode: str = "ov
 
 
 def html_rows(labels: DataFrame, raw: DataFrame) -> DataFrame:
-    """db_id, html: a table row of a record's fields beside its raw lines."""
+    """db_id, ord, html: the lines of a table of records, fields beside raw lines. A record opens with its fields (as many as there are
+    labels), then come its lines, then what closes it; so the lines of a record that has many are no single group."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     left = labels.groupBy("db_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label_ord", F.concat_ws(" ", "label", "text").alias("t")))), lambda x: esc(x["t"])), "<br>").alias("fields"))
-    right = raw.groupBy("db_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "content"))), lambda x: esc(x["content"])), "<br>").alias("lines"))
-    return left.join(right, "db_id", "left").select("db_id", F.concat(F.lit("<tr><td>"), "fields", F.lit("</td><td>"), F.coalesce("lines", F.lit("")), F.lit("</td></tr>")).alias("html"))
+    begin = left.select("db_id", F.lit(-1).cast("long").alias("ord"), F.concat(F.lit("<tr><td>"), "fields", F.lit("</td><td>")).alias("html"))
+    lines = raw.join(left.select("db_id"), "db_id", "left_semi").select("db_id", F.col("line_no").cast("long").alias("ord"), F.concat(esc(F.col("content")), F.lit("<br>")).alias("html"))
+    end = left.select("db_id", F.lit((1 << 63) - 1).alias("ord"), F.lit("</td></tr>").alias("html"))
+    return begin.unionByName(lines).unionByName(end)
 
 
 def error_report(totals: DataFrame) -> DataFrame:

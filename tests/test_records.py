@@ -55,6 +55,23 @@ def test_mapping_takes_the_best(spark):
     data = [("C1-sk01-su01-00000001.gif.xml.txt", "000000017", 6), ("C1-sk01-su01-00000001.gif.xml.txt", "000000018", 9), (None, "1", 1)]
     got = rows(linkage.mapping(spark.createDataFrame(data, "card_file string, db_id string, score int")))
     assert got == [("C1/sk01/su01/00000001", "000000018", 9)]
+    last = rows(linkage.mapping(spark.createDataFrame([(*d, -i) for i, d in enumerate(data)], "card_file string, db_id string, score int, n int"), "n"))
+    assert last == [("C1/sk01/su01/00000001", "000000017", 6)]
+
+
+def test_numbers_of_a_hot_value(spark):
+    df = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then id else 7 end as k")
+    got = linkage.numbered(df, [F.asc("k"), F.asc("id")]).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 1001)) and [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+
+
+def test_shuffle_union_resplit(spark):
+    a, b = spark.range(50).toDF("id"), spark.range(50, 60).toDF("id")
+    assert linkage.union_dumps([a, b]).where("part = 1").count() == 10
+    train, test = linkage.resplit(a, b, lambda d: d.withColumn("x", F.col("id") + 1))
+    assert train.count() == 50 and sorted(r.x for r in test.collect()) == list(range(51, 61))
+    order = [r.id for r in linkage.shuffled(a, ["id"], 3).orderBy("place").collect()]
+    assert sorted(order) == list(range(50)) and order != list(range(50)) and order == [r.id for r in linkage.shuffled(a.repartition(3), ["id"], 3).orderBy("place").collect()]
 
 
 def test_unpack_marked_varies_by_row(spark):

@@ -1,10 +1,11 @@
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions import distance
-from cardloom.operators import align, metrics, sequence, spans
+from cardloom.operators import align, inference, linkage, metrics, sequence, spans
 
 SPAN = "card string, label string, start_pos int, end_pos int"
 
@@ -95,7 +96,7 @@ def test_offsets_to_io_against_python(spark):
     cards = spark.createDataFrame([("c", text), ("d", None), ("e", "")], "card string, transcription string")
     s = spark.createDataFrame([("c", "T", 4, 9), ("c", "U", 8, 12), ("c", "V", 14, 16)], SPAN)
     got = [(r.token, r.label) for r in sequence.offsets_to_io(cards, s).where("card = 'c'").orderBy("seg", "tok_ord").collect()]
-    assert got == [("ab", "O"), ("cd", "T"), ("[LF]", "T"), ("ef", "T"), ("gh", "O"), ("[LF]", "O"), ("[LF]", "O"), ("ij", "V")]
+    assert got == [("ab", "O"), ("cd", "T"), ("[LF]", "T"), ("ef", "T"), ("f", "U"), ("gh", "U"), ("[LF]", "O"), ("[LF]", "O"), ("ij", "V")]
 
 
 def test_token_offsets_point_at_the_tokens(spark):
@@ -105,10 +106,104 @@ def test_token_offsets_point_at_the_tokens(spark):
     assert [r.token for r in got] == text.split() and all(text[r.start_pos : r.end_pos] == r.token for r in got)
 
 
-def test_aligner_places_fields():
-    lines = [(0, "Novák, Jan"), (11, "Dějiny města"), (24, "Brno 1950")]
-    got = align.align_card(lines, [("Author", "Novák, Jan"), ("Title", "Dějiny města"), ("Date", "1950")])
-    assert ("Author", 0, 10) in got and ("Title", 11, 23) in got
+def align_by_hand(lines, fields, threshold=0.8, max_lines=5):
+    """The first aligner of one card, said plainly: every order of every subset is measured."""
+    rate = lambda h, r: brute(h.lower(), r.lower()) / len(r) if r else 9.0
+    groups, out = {}, []
+    for line in lines:
+        found = align.candidate_fields([v for _, v in fields], line[1])
+        if found:
+            groups.setdefault(min(found, key=lambda k: (rate(line[1], fields[k][1]), k)), []).append(line)
+    for k, own in groups.items():
+        ref = fields[k][1]
+        orders = [p for n in range(1, len(own) + 1) for c in itertools.combinations(own, n) for p in itertools.permutations(c)] if len(own) <= max_lines else []
+        best = min(orders, key=lambda p: rate(" ".join(t for _, t in p), ref), default=())
+        if not best or rate(" ".join(t for _, t in best), ref) >= 1:
+            continue
+        found = align.place_field(list(best), ref)
+        cut = " ".join(next(t[a - s : b - s] for s, t in best if s <= a < s + len(t)).strip() for a, b in found)
+        if found and rate(cut, ref) < threshold:
+            out += [(fields[k][0], a, b) for a, b in found]
+    return out
+
+
+def test_aligner_against_plain_python(spark):
+    rnd = random.Random(5)
+    words = ["Novák", "Jan", "Dějiny", "města", "Brno", "1950", "sešit", "řada", "Žďár", "über", "knihy"]
+    some = lambda a, b: " ".join(rnd.choices(words, k=rnd.randint(a, b)))
+    noise = lambda t: "".join(rnd.choice("xyz") if rnd.random() < 0.08 else c for c in t)
+    cards, labels, links, want = [], [], [], {}
+    for i in range(30):
+        fields = [(name, some(1, 4)) for name in ("Author", "Title", "Date")]
+        lines = [noise(w) for _, v in fields for w in ([v] if rnd.random() < 0.6 else v.split(" ", 1))] + [some(1, 2)]
+        text = "\n".join(lines) + "\n"
+        cards.append((f"c{i}", text))
+        labels += [(f"r{i}", name, v, k) for k, (name, v) in enumerate(fields)]
+        links.append((f"c{i}", f"r{i}"))
+        placed, at = [], 0
+        for line in lines:
+            if len(line) > 1:
+                placed.append((at, line))
+            at += len(line) + 1
+        spans_ = sorted([[lab, a, b] for lab, a, b in align_by_hand(placed, fields)], key=lambda x: (x[1], x[2], x[0]))
+        want[f"c{i}"] = sorted(map(tuple, (x for x in spans.drop_outer(spans_, [k for k, ch in enumerate(text) if ch == " "]) if x[2] > x[1])))
+    texts = spark.createDataFrame(cards, "card string, transcription string")
+    got = align.align_cards(spark.createDataFrame(links, "card string, db_id string"), linkage.card_lines(texts), spark.createDataFrame(labels, "db_id string, label string, text string, label_ord int"), texts)
+    have = {}
+    for r in got.collect():
+        have.setdefault(r.card, []).append((r.label, r.start_pos, r.end_pos))
+    assert {k: sorted(v) for k, v in have.items()} == {k: v for k, v in want.items() if v} and sum(map(len, have.values())) > 30
+
+
+def test_distance_beyond_ascii(spark):
+    pairs = [("Žďár", "Zdar"), ("", "ab"), ("über", "ueber"), ("Řada", "řada"), ("日本", "日本語")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(distance.cer(F.col("a"), F.col("b"))).collect()] == [brute(a.lower(), b.lower()) / len(b) for a, b in pairs]
+    assert [r[0] for r in df.select(distance.infix_udf()("a", "b")).collect()] == [distance.infix_distance(a, b) for a, b in pairs]
+
+
+def test_match_score_against_all_pairs(spark):
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choices("abcde ", k=n))
+    vals = [(f"r{i}", some(rnd.randint(2, 20))) for i in range(12)]
+    lines = [("c", k, v[: rnd.randint(3, 20)] + some(rnd.randint(0, 3))) for k, (_, v) in enumerate(vals * 2)] + [("c", 99, some(15))]
+    df = linkage.records_match_score(
+        spark.createDataFrame([("c", r) for r, _ in vals] + [("c", "none")], "card string, db_id string"), spark.createDataFrame(lines, "card string, line_no int, line string"), spark.createDataFrame(vals, "db_id string, text string")
+    )
+    want = {r: sum(len(x) >= 4 and distance.infix_distance(x, v) < 0.3 * min(len(x), len(v)) for _, _, x in lines) for r, v in vals if len(v) >= 4}
+    assert {r.db_id: r.n_matched for r in df.collect()} == want
+
+
+def test_index_search_against_all_terms(spark):
+    rnd = random.Random(6)
+    words = ["der", "und"] * 40 + [f"w{i}" for i in range(30)]
+    docs = [(f"d{i:02}", " ".join(rnd.choices(words, k=rnd.randint(1, 9)))) for i in range(60)] + [("dd", None), ("de", "")]
+    asked = [(f"q{i}", " ".join(rnd.choices(words, k=4))) for i in range(12)] + [("qf", "der und"), ("qn", None), ("qx", "nowhere")]
+    d, q = spark.createDataFrame(docs, "db_id string, text string"), spark.createDataFrame(asked, "card string, t string")
+    runs = [{(r.card, r.db_id, r.score, r["rank"]) for r in linkage.index_search(q, d, "card", F.col("t"), "db_id", F.col("text"), 3, share).collect()} for share in (0.05, 1.0)]
+    assert runs[0] == runs[1] and {r[0] for r in runs[0]} >= {"qf"}
+
+
+def test_masks_and_their_signs(spark):
+    texts = spark.createDataFrame([("c", "abcdefgh"), ("d", "xy")], "card string, transcription string")
+    s = spark.createDataFrame([("c", "Title", 1, 3), ("c", "ID", 6, 7)], SPAN)
+    got = spans.mask_signs(s, texts)
+    assert {r.card: r["mask"] for r in got.collect()} == {"c": "02200090", "d": "00"}
+    assert {(r.card, r.start_pos, r.end_pos, r.label) for r in spans.unmasked(got).collect()} >= {("c", 1, 3, "Title"), ("c", 6, 7, "ID"), ("d", 0, 2, "O")}
+
+
+def test_given_tokens_are_found_in_order(spark):
+    texts = spark.createDataFrame([("c", "one two, one")], "card string, transcription string")
+    toks = spark.createDataFrame([("c", i, w) for i, w in enumerate(["one", "two", "missing", "[LF]", ",", "one"])], "card string, tok_ord int, token string")
+    got = [(r.token, r.start_pos, r.end_pos) for r in sequence.found_offsets(texts, toks).orderBy("tok_ord").collect()]
+    assert got == [("one", 0, 3), ("two", 4, 7), ("missing", None, None), (",", 7, 8), ("one", 9, 12)]
+
+
+def test_predicted_spans(spark):
+    cards = spark.createDataFrame([("c", "aa bb x"), ("d", None)], "card string, transcription string")
+    words = inference.predict_words(cards, lambda ws: [("O", 1.0) if w == "x" else ("T", 0.5) for w in ws])
+    assert [(r.label, r.n, r.confidence) for r in inference.predicted_spans(words, "prod").collect()] == [("T", 2, 0.25)]
+    assert inference.predicted_spans(words, "prod", 0.3).count() == 0
 
 
 def test_report_of_an_empty_table(spark):
