@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.runtime import materialize
+from cardloom.runtime import materialize, release
 
 #: Odd multipliers of the polynomial fingerprints and their inverses modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -247,10 +247,11 @@ def shared_spans(docs: DataFrame, min_len: int = 100, gram: int = 50) -> DataFra
     window = min_len - gram + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     half = (min_len - gram) // 2
-    found = docs.mapInPandas(_anchor_rows(gram, window, min_len), "h long, doc_id long, pos int")
-    repeated = found.join(materialize(_in_several(found, "h")), "h", "left_semi")
+    found = materialize(docs.mapInPandas(_anchor_rows(gram, window, min_len), "h long, doc_id long, pos int"))
+    repeated = found.join(_in_several(found, "h"), "h", "left_semi")
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("pos").alias("where"))  # as long as its document at most
     held = materialize(per_doc.join(docs, "doc_id"))
+    release(found)
 
     places = materialize(
         held.mapInPandas(_node_rows(gram), "doc_id long, ord int, node long, edge_in long, edge_out long, pos int, pos_before int, pos_after int")
@@ -281,10 +282,11 @@ def shared_spans(docs: DataFrame, min_len: int = 100, gram: int = 50) -> DataFra
         )
     )
     done = unitigs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("done"))
-    probed = held.mapInPandas(_probe_rows(gram, half), "probe long, doc_id long, pos int, right boolean")
+    probed = materialize(held.mapInPandas(_probe_rows(gram, half), "probe long, doc_id long, pos int, right boolean"))
     probes = probed.join(_in_several(probed, "probe"), "probe", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "right")).alias("probes"))
     texts = held.select("doc_id", "text").join(probes, "doc_id").join(done, "doc_id", "left")
     windows = materialize(texts.mapInPandas(_window_rows(gram, half, min_len), "g long, doc_id long, s int"))
+    release(held, places, probed)
     verified = windows.join(_in_several(windows, "g"), "g", "left_semi")
     return merge_stretches(unitigs.select("doc_id", "s", "e").unionByName(verified.select("doc_id", "s", (F.col("s") + min_len).alias("e"))))
 
