@@ -30,6 +30,7 @@ VOCAB_LEAST = 4
 RATIO = 10
 #: A kind of error not among the shapes below is met in this share of the vocabulary words that hold its letters at least, and in KIND_LEAST of them.
 KIND_SHARE = 0.05
+KIND_WORDS = 40  # only words in so many cards and records are asked, as rarer ones, names among them, may not have been misread yet
 KIND_LEAST = 3
 #: A running header stands in this share of the cards of its collection at least, and so many times oftener than in others.
 HEADER_SHARE = 0.04
@@ -38,7 +39,7 @@ HEADER_LIFT = 5
 BLOCK_WORDS, CHUNK_WORDS = 40_000, 8_000
 # Signs of like shape, which scanners take for one another; pairs that look like one sign.
 SHAPES = ("0oó", "1lií!|", "5sš§", "9gyý", "6b", "2zž", "@aá", "ceé", "ftř", "un", "bh", "yv", "ri", "üů")
-SHAPE_PAIRS = (("rn", "m"), ("cl", "d"), ("li", "h"))
+SHAPE_PAIRS = (("rn", "m"), ("cl", "d"), ("li", "h"), ("lc", "k"), ("vv", "w"))
 # The forms of page and side numbers; signs that break a word at a line end.
 PAGE_NO = r"^(-\s*\d{1,4}\s*-|—\s*\d{1,4}\s*—|–\s*\d{1,4}\s*–|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|\d{1,3}|\d{1,3}\s*/\s*\d{1,3}|(str|list|fol|pag|p|f|S|s|Bl|Blatt|Seite|page|sheet)\.?\s*\d{1,4}\.?)$"
 BREAKS = "-¬=—‐‑–"
@@ -274,9 +275,9 @@ def near_words(counts: DataFrame, words: DataFrame) -> DataFrame:
 def error_kinds(near: DataFrame, words: DataFrame) -> DataFrame:
     """read, was: the kinds of error that the scanner makes, beside those of like shape: how many vocabulary words are
     met misread so, against those that hold the letters."""
-    one = near.where("size(ways[0]) = 1").select("meant", F.explode("ways").alias("w")).select("meant", F.col("w")[0]["read"].alias("read"), F.col("w")[0]["was"].alias("was"))
+    one = near.where((F.size(F.get("ways", F.lit(0))) == 1) & (F.col("n_meant") >= KIND_WORDS)).select("meant", F.explode("ways").alias("w")).select("meant", F.col("w")[0]["read"].alias("read"), F.col("w")[0]["was"].alias("was"))
     tally = one.where("read != '' and was != ''").groupBy("read", "was").agg(F.count_distinct("meant").alias("n"))
-    known = words.where((F.col("n") >= VOCAB_LEAST) & F.col("word").rlike(r"^\p{L}{2,}$"))
+    known = words.where((F.col("n") >= KIND_WORDS) & F.col("word").rlike(r"^\p{L}{2,}$"))
     place = F.sequence(F.lit(1), F.length("word"))
     bits = F.array_distinct(F.flatten(F.transform(place, lambda i: F.array(F.substring("word", i, 1), F.substring("word", i, 2)))))
     holds = known.select(F.explode(bits).alias("was")).groupBy("was").agg(F.count("*").alias("n_holds"))
