@@ -249,9 +249,11 @@ def shared_spans(docs: DataFrame, min_len: int = 100, gram: int = 50) -> DataFra
     half = (min_len - gram) // 2
     found = materialize(docs.mapInPandas(_anchor_rows(gram, window, min_len), "h long, doc_id long, pos int"))
     repeated = found.join(_in_several(found, "h"), "h", "left_semi")
-    per_doc = repeated.groupBy("doc_id").agg(F.collect_list("pos").alias("where"))  # as long as its document at most
-    held = materialize(per_doc.join(docs, "doc_id"))
+    # as long as its document at most; written, so that the anchors' files are gone before the texts are shuffled
+    per_doc = materialize(repeated.groupBy("doc_id").agg(F.collect_list("pos").alias("where")))
     release(found)
+    held = materialize(per_doc.join(docs, "doc_id"))
+    release(per_doc)
 
     places = materialize(
         held.mapInPandas(_node_rows(gram), "doc_id long, ord int, node long, edge_in long, edge_out long, pos int, pos_before int, pos_after int")
