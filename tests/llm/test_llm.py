@@ -253,6 +253,23 @@ def test_linkage_without_one_of_the_first_title_words(spark, title, numbers):
     assert [(r.card, r.db_id) for r in got] == [("A/1", "000000001")]
 
 
+def test_candidates_do_not_depend_on_how_frequent_keys_are(spark, monkeypatch):
+    cols = "db_id string, title string, subtitle string, author string, publisher string, date_text string, pages string, series string, edition string, id string"
+    rec = [("000000001", "Starý obraz dávných sporů", None, "Novák, Jan", "Brno, Verlag Dimov", "1901", "120 s.", None, None, "BK1"), ("000000002", None, None, "Novák, Jan", "Brno, Verlag Dimov", "1901", None, None, None, "BK2")]
+    rec += [(f"00000001{i}", f"Jiná kniha o městě číslo {i}", None, "Novák, Jan", "Brno, Verlag Dimov", "1901", f"{119 + i} s.", None, None, f"BX{i}") for i in range(4)]
+    titles = ["Starý obraz dávných sporů", "xxxxx xxxxx xxxxxxx xxxxx", "Jiná kniha o městě číslo 3"]
+    cards = [(f"A/{i}", f"Novák, Jan\n{t} /\nBrno, Verlag Dimov 1901{pages}") for i, (t, pages) in enumerate((t, p) for t in titles for p in ("", "\n120 s.", "\n500 s."))]
+    c, r = spark.createDataFrame(cards, "card string, text string"), spark.createDataFrame(rec, cols)
+    got = {}
+    for most in (10**9, 12, 0):  # no key is split, some are, all are
+        monkeypatch.setattr(soft_linkage, "HOT_PAIRS", most)
+        rows = [(x.card, x.db_id) for x in soft_linkage.candidates(c, r).collect()]
+        assert len(rows) == len(set(rows))
+        got[most] = set(rows)
+    assert ("A/4", "000000001") in got[10**9] and ("A/0", "000000002") in got[10**9]
+    assert got[0] == got[12] == got[10**9]
+
+
 def test_ties_pull_cards_of_one_description(spark):
     rows = [("A", "1", 3.0, 2.0, 7, False), ("B", "1", 2.0, 3.0, 7, False), ("C", "1", 2.0, 3.0, 8, False), ("B", "2", 1.0, 4.0, 7, False), ("D", "3", 1.0, 1.0, 0, True)]
     df = spark.createDataFrame(rows, "card string, db_id string, pro double, con double, same long, free boolean")
