@@ -157,6 +157,31 @@ def test_the_cosine_decides_where_the_parts_say_nothing(spark):
     assert groups("off") < groups("on")  # without it, names that only look a little alike are linked
 
 
+def moved_rows(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_pairs_that_only_share_a_gram_are_not_shuffled(spark, monkeypatch):
+    rnd = random.Random(12)
+    some = lambda: "".join(rnd.choice("dkl") + rnd.choice("aeo") for _ in range(5)).capitalize()
+    names = [f"{some()}, {g}" for g in ("Hynek", "Josef", "H.", "Emil") for _ in range(450)]
+    rows = {}
+    for n in (600, 1800):
+        parsed = name_variants.materialize(name_variants.parsed_names(spark.createDataFrame([(x, None) for x in names[::1800 // n]], "author string, publisher string"), ("author",)))
+        before = moved_rows(spark)
+        pairs = {(r.a, r.b) for r in name_variants.similar_pairs(parsed, 0.8).collect()}
+        after = moved_rows(spark)
+        rows[n] = sum(x for k, x in after.items() if k not in before)
+        assert pairs
+    assert rows[1800] < 4 * rows[600], rows  # three times the names
+    monkeypatch.setattr(name_variants, "MEMBERS", 1)
+    assert {(r.a, r.b) for r in name_variants.similar_pairs(parsed, 0.8).collect()} == pairs
+
+
 def test_average_linkage_against_one_by_one(spark):
     rnd = random.Random(4)
     ids = list(range(12))
