@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,31 @@ def test_ways_between_words():
     assert not list(ocr_repair.scripts("abcdef", "uvwxyz"))
 
 
+def test_words_too_rare_to_be_meant_are_not_walked(monkeypatch):
+    rnd = random.Random(13)
+    some = lambda: "".join(rnd.choices("abcd", k=rnd.randint(3, 6)))
+    known = pd.DataFrame([(w, rnd.choice([4, 13, 14, 33, 34, 90])) for w in sorted({some() for _ in range(150)})], columns=["word", "n"])
+    asked = pd.DataFrame([(w, rnd.choice([1, 2, 3, 4, 5, 200])) for w in sorted({some() for _ in range(80)})], columns=["word", "n"])
+    walked = []
+
+    class Spy(ocr_repair.Trie):
+        def __init__(self, words, back=False):
+            super().__init__(words, back)
+            self.words = words
+
+        def near(self, word):
+            walked.append((word, self.words))
+            return super().near(word)
+
+    monkeypatch.setattr(ocr_repair, "Trie", Spy)
+    got = {(r.word, r.meant) for r in ocr_repair.look_up(asked, known).itertuples()}
+    n_of, least = dict(zip(known["word"], known["n"])), {w: 4 + 10 * (n - 1) for w, n in zip(asked["word"], asked["n"])}
+    far = lambda w: 1 if len(w) <= 4 else 2
+    # a pair may also be two characters for one, so the ways are asked, not the distance
+    assert got == {(w, v) for w in least for v in n_of if v != w and n_of[v] >= least[w] and errors_between(w, v) <= 2 and list(ocr_repair.scripts(w, v, far(w)))}
+    assert walked and all(n_of[v] >= min(14, least[w]) for w, words in walked for v in words)
+
+
 def test_a_kind_of_error_is_judged_by_its_own_words(spark):
     rnd = random.Random(10)
     some = lambda k: "".join(rnd.choices("bdghjkpqstvwxz", k=k))
