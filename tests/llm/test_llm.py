@@ -321,6 +321,29 @@ def test_candidates_do_not_depend_on_how_frequent_keys_are(spark, monkeypatch):
     assert got[0] == got[12] == got[10**9]
 
 
+def test_only_pairs_that_may_hold_are_scored(spark, monkeypatch):
+    cols = "db_id string, title string, subtitle string, author string, publisher string, date_text string, pages string, series string, edition string, id string"
+    titles = ["Starý obraz dávných sporů", "Jiná kniha o městě", "Město město a kniha", None]
+    rec = [(f"{i:09}", titles[i % 4], "malé spisy" if i % 3 else None, "Novák, Jan" if i % 5 else None, "Brno, Verlag Dimov", f"{1901 + i % 2}", f"{119 + i % 3} s." if i % 7 else None, None, "2. vyd." if i % 4 == 1 else None, f"BK{i}") for i in range(40)]
+    shown = ["Starý obraz dávných sporů", "Starý xxxxx dávných sporů", "Jiná kniha", "Město a kniha", "obraz sporů"]
+    text = "Novak, Jan\n{} /\nmalé spisy\n2. vyd.\nBrno, Dimov {}\n{} s.\nBK{}"
+    cards = [(f"A/{i}", text.format(shown[i % 5], 1901 + i % 2, 119 + i % 3, i)) for i in range(20)] + [("B/1", text.format(shown[1], 1901, 119, 0))]
+    c, r = spark.createDataFrame(cards, "card string, text string"), spark.createDataFrame(rec, cols)
+    near, read_c, read_r = soft_linkage.near_pairs(c, r)
+    near = soft_linkage.materialize(near)
+    scored = {(x.card, x.db_id): x for x in soft_linkage.score(near, read_c, read_r).collect()}
+    bounds = {(x.card, x.db_id): x for x in near.collect()}
+    assert scored.keys() == bounds.keys()
+    for k, x in scored.items():
+        assert all(f <= m + 1e-9 for f, m in zip(x.f, bounds[k].most)) and all(a >= n - 1e-9 for a, n in zip(x.a, bounds[k].least)), k
+    kept = soft_linkage.may_hold(near, np.array(soft_linkage.FOR), np.array(soft_linkage.AGAINST), 0.5).count()
+    assert 0 < kept < len(scored)
+    got = lambda: sorted(soft_linkage.link(c.withColumnRenamed("text", "transcription"), r.where("db_id < '000000008'")).collect())
+    bounded = got()
+    monkeypatch.setattr(soft_linkage, "may_hold", lambda near, *_: near)
+    assert bounded and got() == bounded
+
+
 def test_ties_pull_cards_of_one_description(spark):
     rows = [("A", "1", 3.0, 2.0, 7, False), ("B", "1", 2.0, 3.0, 7, False), ("C", "1", 2.0, 3.0, 8, False), ("B", "2", 1.0, 4.0, 7, False), ("D", "3", 1.0, 1.0, 0, True)]
     df = spark.createDataFrame(rows, "card string, db_id string, pro double, con double, same long, free boolean")
