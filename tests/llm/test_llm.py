@@ -344,6 +344,16 @@ def test_only_pairs_that_may_hold_are_scored(spark, monkeypatch):
     assert bounded and got() == bounded
 
 
+def test_linkage_has_one_python_worker_a_task(spark, monkeypatch):
+    rec = [("000000001", "Starý obraz dávných sporů", None, "Novák, Jan", "Brno, Verlag Dimov", "1901", "120 s.", None, None, "BK1")]
+    cols = "db_id string, title string, subtitle string, author string, publisher string, date_text string, pages string, series string, edition string, id string"
+    plans, write = [], soft_linkage.materialize
+    monkeypatch.setattr(soft_linkage, "materialize", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df))
+    cards = spark.createDataFrame([("A/1", "Novák, Jan\nStarý оbraz dávných sporů /\nBrno, Dimov 1901\n120 s.")], "card string, transcription string")  # with a Cyrillic letter
+    assert [(x.card, x.db_id) for x in soft_linkage.link(cards, spark.createDataFrame(rec, cols)).collect()] == [("A/1", "000000001")]
+    assert max(p.count("MapIn") for p in plans) == 1
+
+
 def test_ties_pull_cards_of_one_description(spark):
     rows = [("A", "1", 3.0, 2.0, 7, False), ("B", "1", 2.0, 3.0, 7, False), ("C", "1", 2.0, 3.0, 8, False), ("B", "2", 1.0, 4.0, 7, False), ("D", "3", 1.0, 1.0, 0, True)]
     df = spark.createDataFrame(rows, "card string, db_id string, pro double, con double, same long, free boolean")
