@@ -6,7 +6,9 @@ import math
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,38 +173,119 @@ def build_index(docs: DataFrame, key: str, text: Column) -> tuple[DataFrame, Dat
     return terms.groupBy("term", key).agg(F.count("*").alias("tf")), terms.groupBy(key).agg(F.count("*").alias("len"))
 
 
+#: Documents of a block of the index, held by one task; queries that one task holds against a block at most, and at least where there are tasks enough.
+BLOCK_DOCS, CHUNK_QUERIES, LEAST_QUERIES = 200_000, 50_000, 1_000
+
+
+class Index:
+    """Documents by their terms and terms by their documents. Terms are numbered from the rarest on, documents as they stand.
+
+    rest: of a term in a document the weight of it and of all that are more frequent there. A document with a score of t has a
+    term of the query with a rest of t or more: the rarest that they share. So the documents of a term stand by their rest, and
+    only the first of them need a look.
+    """
+
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        named, term, df = np.unique(terms, return_inverse=True, return_counts=True)
+        rank = np.empty(len(named), dtype=np.int64)
+        rank[np.argsort(df, kind="stable")] = np.arange(len(named))
+        self.named, self.rank = named, rank
+        doc, term = np.repeat(np.arange(len(sizes)), sizes), rank[term]
+        order = np.lexsort((term, doc))
+        self.term, self.weight = term[order], weights[order]
+        self.start = np.r_[0, np.cumsum(sizes)]
+        total = np.r_[0.0, np.cumsum(self.weight)]
+        rest = total[self.start[doc + 1]] - total[:-1]
+        by = np.lexsort((-rest, self.term))
+        self.docs, self.less = doc[by], -rest[by]
+        self.at = np.searchsorted(self.term[by], np.arange(len(named) + 1))
+        self.most = np.maximum.reduceat(self.weight[by], self.at[:-1]) if len(named) else np.zeros(0)
+        self.asked, self.met = np.zeros(len(named)), np.full(len(sizes), -1)
+
+    def scores(self, docs: np.ndarray) -> np.ndarray:
+        """Sums of the weights that the documents have for the terms in `asked`."""
+        n = self.start[docs + 1] - self.start[docs]
+        ends = np.cumsum(n)
+        i = np.arange(ends[-1]) + np.repeat(self.start[docs] - ends + n, n)
+        return np.add.reduceat(self.weight[i] * self.asked[self.term[i]], ends - n)
+
+    def best(self, number: int, terms: np.ndarray, k: int, rare: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents for the terms, with scores rounded to 6 places, ties by place. number: another one for each
+        query; rare: of how many documents a term is frequent."""
+        i = np.searchsorted(self.named, terms)
+        ids = np.sort(self.rank[i[(i < len(self.named)) & (self.named[np.minimum(i, len(self.named) - 1)] == terms)]])
+        self.asked[ids] = 1.0
+        left = np.cumsum(self.most[ids][::-1])[::-1]
+        docs, scores, new, n_new, kth = np.zeros(0, dtype=np.int64), np.zeros(0), [], 0, -1.0
+        for i, t in enumerate(ids):
+            a, b = self.at[t], self.at[t + 1]
+            if n_new and (n_new >= max(k, len(docs) // 4) or b - a > rare):
+                d = np.concatenate(new)
+                docs, scores, new, n_new = np.r_[docs, d], np.r_[scores, self.scores(d)], [], 0
+                if len(docs) >= k:
+                    kth = np.partition(scores, -k)[-k]
+                    keep = scores >= kth - 1e-5
+                    docs, scores = docs[keep], scores[keep]
+            if left[i] < kth - 1e-5:
+                break
+            if kth > 0:
+                b = a + np.searchsorted(self.less[a:b], 1e-5 - kth, side="right")
+            d = self.docs[a:b]
+            d = d[self.met[d] != number]
+            self.met[d] = number
+            new.append(d)
+            n_new += len(d)
+        if n_new:
+            d = np.concatenate(new)
+            docs, scores = np.r_[docs, d], np.r_[scores, self.scores(d)]
+        self.asked[ids] = 0.0
+        scores = np.round(scores, 6)
+        top = np.lexsort((docs, -scores))[:k]
+        return docs[top], scores[top]
+
+
 def index_search(queries: DataFrame, docs: DataFrame, query_key: str, query_text: Column, doc_key: str, doc_text: Column, k: int = 5, rare_share: float = 0.01) -> DataFrame:
     """The k best documents of each query by BM25 over all terms: query key, document key, score, rank; ties go to the smaller key.
 
-    Terms in more than rare_share of the documents have long postings and give little. Documents that share a rarer term
-    with a query are scored first, by all terms. Where the k-th of them has more than all frequent terms of the query could
-    give together, no other document can be among the best; only the queries left are held against the long postings.
+    Documents and queries are cut into blocks that meet each other, each block of documents being an `Index` in one task that
+    gives the k best of it for each query. What is moved grows with the texts, not with the pairs that share a term. Before
+    a term in more than rare_share of the documents is looked at, those found so far are scored, so that few of its own need be.
     """
     postings, lengths = build_index(docs, doc_key, doc_text)
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
+    counts = materialize(postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    frequent = F.col("df") > F.greatest(F.lit(1.0), F.col("n_docs") * rare_share)
-    index = materialize(postings.join(df, "term").join(lengths, doc_key).select("term", doc_key, weight.alias("w"), frequent.alias("frequent")))
-    terms = materialize(queries.select(query_key, F.explode(F.array_distinct(words_of(query_text))).alias("term")))
-    rare, common = index.where("not frequent").drop("frequent"), index.where("frequent").drop("frequent")
-
-    def best(hits: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(doc_key)))
-        summed = hits.groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
-        return summed.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-
-    first = materialize(terms.join(rare, "term").select(query_key, doc_key, "w"))
-    more = first.select(query_key, doc_key).distinct().join(common, doc_key).join(terms, [query_key, "term"]).select(query_key, doc_key, "w")
-    found = materialize(best(first.unionByName(more)))
-    most = common.groupBy("term").agg(F.max("w").alias("most"))
-    bound = terms.join(most, "term").groupBy(query_key).agg(F.sum("most").alias("bound"))
-    kth = found.where(F.col("rank") == k).select(query_key, F.col("score").alias("kth"))
-    every = terms.select(query_key).distinct().join(bound, query_key, "left").join(kth, query_key, "left")
-    hard = materialize(every.where("bound is not null and (kth is null or kth <= bound + 0.00001)").select(query_key))
-    rest = best(terms.join(hard, query_key, "left_semi").join(index.drop("frequent"), "term").select(query_key, doc_key, "w"))
-    return found.join(hard, query_key, "left_anti").unionByName(rest)
+    each = postings.join(counts, "term").join(lengths, doc_key).join(F.broadcast(stats)).select(doc_key, F.struct("t", weight.alias("w")).alias("x"))
+    index = materialize(each.groupBy(doc_key).agg(F.collect_list("x").alias("x")).select(F.col(doc_key).alias("doc"), F.col("x.t").alias("t"), F.col("x.w").alias("w")))
+    known = queries.select(query_key, F.explode(F.array_distinct(words_of(query_text))).alias("term")).join(counts.select("term", "t"), "term")
+    asked = materialize(known.groupBy(query_key).agg(F.collect_set("t").alias("t")).select(F.col(query_key).alias("query"), "t"))
+    tasks, n_asked = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, asked.count())
+    n_blocks = -(-max(1, index.count()) // BLOCK_DOCS)
+    n_chunks = max(-(-n_asked // CHUNK_QUERIES), min(-(-2 * tasks // n_blocks), -(-n_asked // LEAST_QUERIES)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query", "t", part("query", n_chunks).alias("chunk"), every(n_blocks).alias("block")).repartition(n_blocks * n_chunks, "chunk", "block")
+    right = index.select("doc", "t", "w", part("doc", n_blocks).alias("block"), every(n_chunks).alias("chunk")).repartition(n_blocks * n_chunks, "chunk", "block")
+    schema = f"{query_key} {asked.schema['query'].dataType.simpleString()}, {doc_key} {index.schema['doc'].dataType.simpleString()}, score double"
+
+    def search(some: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.sort_by("doc").combine_chunks()
+        some = some.combine_chunks()
+        array = lambda table, name: table.column(name).combine_chunks()
+        flat = lambda table, name: array(table, name).flatten().to_numpy(zero_copy_only=False)
+        sizes = lambda table: array(table, "t").value_lengths().to_numpy(zero_copy_only=False)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(some) and len(block):
+            here, ask, end = Index(sizes(block), flat(block, "t"), flat(block, "w")), flat(some, "t"), np.cumsum(sizes(some))
+            found = [here.best(i, ask[a:b], k, rare_share * len(block)) for i, (a, b) in enumerate(zip(np.r_[0, end[:-1]], end))]
+        of = np.repeat(np.arange(len(found)), [len(d) for d, _ in found])
+        docs_, scores = (np.concatenate(x) if found else np.zeros(0) for x in (list(zip(*found)) if found else ((), ())))
+        return pa.table([some.column("query").take(pa.array(of, pa.int64())), block.column("doc").take(pa.array(docs_, pa.int64())), pa.array(scores, pa.float64())], names=[query_key, doc_key, "score"])
+
+    near = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(search, schema)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(doc_key)))
+    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
 def matched_cards(cards: DataFrame, lines: DataFrame, records: DataFrame, labels: DataFrame, k: int = 5, least: int = 1) -> DataFrame:

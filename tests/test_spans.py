@@ -184,6 +184,16 @@ def test_index_search_against_all_terms(spark):
     assert runs[0] == runs[1] and {r[0] for r in runs[0]} >= {"qf"}
 
 
+def test_index_search_writes_no_pairs_that_share_a_term(spark, monkeypatch):
+    docs = [(f"d{i:04}", f"w{i % 150} v{i % 147} x{i}") for i in range(1500)]
+    d, q = spark.createDataFrame(docs, "db_id string, text string"), spark.createDataFrame([(f"q{i:04}", t) for i, (_, t) in enumerate(docs)], "card string, t string")
+    sizes, write = [], linkage.materialize
+    monkeypatch.setattr(linkage, "materialize", lambda df: sizes.append((out := write(df)).count()) or out)
+    monkeypatch.setattr(linkage, "BLOCK_DOCS", 400, raising=False)
+    best = {r.card: r.db_id for r in linkage.index_search(q, d, "card", F.col("t"), "db_id", F.col("text"), 3, 0.1).where("rank = 1").collect()}
+    assert best == {f"q{i:04}": f"d{i:04}" for i in range(1500)} and max(sizes) <= 3 * len(docs)
+
+
 def test_masks_and_their_signs(spark):
     texts = spark.createDataFrame([("c", "abcdefgh"), ("d", "xy")], "card string, transcription string")
     s = spark.createDataFrame([("c", "Title", 1, 3), ("c", "ID", 6, 7)], SPAN)
