@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,26 @@ def test_match_score_against_all_pairs(spark):
     assert {r.db_id: r.n_matched for r in df.collect()} == want
 
 
+def test_infix_distances_at_once(spark):
+    rnd = random.Random(5)
+    some = lambda n: "".join(rnd.choices("abcdeě𝒜 ", k=n))
+    texts = [some(n) for n in [1, 2, 63, 64, 64, 0, *(rnd.randint(1, 40) for _ in range(60)), 200]]
+    pats = [t for t in texts if 0 < len(t) <= 64]
+    of, within = (np.array(x) for x in zip(*((i, k) for i, p in enumerate(pats) for k, t in enumerate(texts) if len(p) <= len(t))))
+    got = distance.infix_distances(pats, texts, of, within)
+    assert got.tolist() == [distance.infix_distance(pats[i], texts[k]) for i, k in zip(of, within)]
+
+
+def test_match_score_measures_pairs_at_once(spark):
+    line = "abcdefghij" * 9  # longer than a word of bits
+    cards = [("c", 0, line), ("c", 1, "xyz abc"), ("c", 2, "xyz abd qqqq"), ("d", 0, "klmn")]
+    vals = [("r", line[:80] + "x"), ("r", "xyz abc"), ("s", "nmlk"), ("s", "klmo")]
+    pairs = spark.createDataFrame([(c, r) for c in "cd" for r in "rs"], "card string, db_id string")
+    tables = spark.createDataFrame(cards, "card string, line_no int, line string"), spark.createDataFrame(vals, "db_id string, text string")
+    got = {(r.card, r.db_id): r.n_matched for r in linkage.records_match_score(pairs, *tables).collect()}
+    assert got == {("c", "r"): 3, ("c", "s"): 0, ("d", "r"): 0, ("d", "s"): 1}
+
+
 def test_index_search_against_all_terms(spark):
     rnd = random.Random(6)
     words = ["der", "und"] * 40 + [f"w{i}" for i in range(30)]
