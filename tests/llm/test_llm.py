@@ -344,6 +344,23 @@ def test_only_pairs_that_may_hold_are_scored(spark, monkeypatch):
     assert bounded and got() == bounded
 
 
+def test_linkage_makes_keys_and_pairs_of_some_cards_at_once(spark, monkeypatch):
+    rec = [(f"00000000{i}", f"Starý obraz dávných sporů {w}", None, "Novák, Jan", "Brno, Verlag Dimov", f"190{i}", f"12{i} s.", None, None, f"BK{i}") for i, w in enumerate(("lesa", "pole", "vody", "hory"))]
+    cols = "db_id string, title string, subtitle string, author string, publisher string, date_text string, pages string, series string, edition string, id string"
+    cards = [(f"A/{k}", f"Novák, Jan\nStarý obraz dávných sporů {w} /\nBrno, Dimov 190{i}\n12{i} s.") for k in range(6) for i, w in enumerate(("lesa", "pole", "vody", "xxxx"))]
+    c, r = spark.createDataFrame([(f"{x}/{i}", t) for i, (x, t) in enumerate(cards)], "card string, transcription string"), spark.createDataFrame(rec, cols)
+    tables, write = [], soft_linkage.materialize
+    monkeypatch.setattr(soft_linkage, "materialize", lambda df: tables.append((df.columns, (out := write(df)).count())) or out)
+    near = lambda: [n for columns, n in tables if {"most", "least"} <= {*columns}]
+    whole, once = sorted(soft_linkage.link(c, r).collect()), near()
+    tables.clear()
+    for name, value in (("SLICE_CARDS", 6), ("SLICE_PAIRS", 1), ("LEAST_PAIRS", 1)):
+        monkeypatch.setattr(soft_linkage, name, value)
+    assert sorted(soft_linkage.link(c, r).collect()) == whole and len(whole) == 24
+    assert len(once) == 1 and sum(near()) == once[0] and max(near()) < once[0]
+    assert not any({"card", "key"} <= {*columns} for columns, _ in tables)
+
+
 def test_linkage_has_one_python_worker_a_task(spark, monkeypatch):
     rec = [("000000001", "Starý obraz dávných sporů", None, "Novák, Jan", "Brno, Verlag Dimov", "1901", "120 s.", None, None, "BK1")]
     cols = "db_id string, title string, subtitle string, author string, publisher string, date_text string, pages string, series string, edition string, id string"
